@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.plans.registry import Registry
 from paperloom.sources import read_table
 
-from . import leakage
+from . import encoding, leakage
 
 REGISTRY = Registry()
 
@@ -20,3 +20,13 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.add("p8_overlaps")
 def p8_overlaps(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, directory, "documents"), read_table(spark, directory, "eval_items"))
+
+
+@REGISTRY.add("p9_found")
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return encoding.found(read_table(spark, directory, "documents"))
+
+
+@REGISTRY.add("p9_restored")
+def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
+    return encoding.repaired(read_table(spark, directory, "documents"))
