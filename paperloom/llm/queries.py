@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.plans.registry import Registry
 from paperloom.sources import read_table
 
-from . import encoding, leakage
+from . import encoding, language, leakage
 
 REGISTRY = Registry()
 
@@ -30,3 +30,13 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.add("p9_restored")
 def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.repaired(read_table(spark, directory, "documents"))
+
+
+@REGISTRY.add("p5_found")
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return language.found(*(read_table(spark, directory, t) for t in ("papers", "messages", "lang_labels")))
+
+
+@REGISTRY.add("p5_segments")
+def p5_segments(spark: SparkSession, directory: str) -> DataFrame:
+    return language.languages(*(read_table(spark, directory, t) for t in ("papers", "messages", "lang_labels")))
