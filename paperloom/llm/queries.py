@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.plans.registry import Registry
 from paperloom.sources import read_table
 
-from . import encoding, language, leakage
+from . import encoding, language, leakage, packing, splitting
 
 REGISTRY = Registry()
 
@@ -40,3 +40,27 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.add("p5_segments")
 def p5_segments(spark: SparkSession, directory: str) -> DataFrame:
     return language.languages(*(read_table(spark, directory, t) for t in ("papers", "messages", "lang_labels")))
+
+
+def _tables(spark: SparkSession, directory: str, *names: str) -> list[DataFrame]:
+    return [read_table(spark, directory, name) for name in names]
+
+
+@REGISTRY.add("p6_found")
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    return splitting.found(*_tables(spark, directory, "section_leaves", "paper_pages", "size_limits"))
+
+
+@REGISTRY.add("p6_pieces")
+def p6_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    return splitting.pieces(*_tables(spark, directory, "section_leaves", "paper_pages", "size_limits"))
+
+
+@REGISTRY.add("p7_containers")
+def p7_containers(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(*_tables(spark, directory, "documents", "size_limits"))
+
+
+@REGISTRY.add("p7_certificate")
+def p7_certificate(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.certificate(packing.pack(*_tables(spark, directory, "documents", "size_limits")))
