@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.plans.registry import Registry
 from paperloom.sources import read_table
 
-from . import encoding, language, leakage, packing, splitting
+from . import conversations, encoding, language, leakage, packing, splitting
 
 REGISTRY = Registry()
 
@@ -64,3 +64,13 @@ def p7_containers(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.add("p7_certificate")
 def p7_certificate(spark: SparkSession, directory: str) -> DataFrame:
     return packing.certificate(packing.pack(*_tables(spark, directory, "documents", "size_limits")))
+
+
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return conversations.found(*_tables(spark, directory, "conversations", "messages"))
+
+
+@REGISTRY.add("p3_turns")
+def p3_turns(spark: SparkSession, directory: str) -> DataFrame:
+    return conversations.turns(*_tables(spark, directory, "conversations", "messages"))
