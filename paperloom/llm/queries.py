@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.plans.registry import Registry
 from paperloom.sources import read_table
 
-from . import conversations, encoding, language, leakage, packing, splitting
+from . import conversations, encoding, language, leakage, packing, pairs, splitting
 
 REGISTRY = Registry()
 
@@ -74,3 +75,16 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.add("p3_turns")
 def p3_turns(spark: SparkSession, directory: str) -> DataFrame:
     return conversations.turns(*_tables(spark, directory, "conversations", "messages"))
+
+
+@REGISTRY.add("p1_found")
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return pairs.found(read_table(spark, directory, "messages"))
+
+
+@REGISTRY.add("p1_judged")
+def p1_judged(spark: SparkSession, directory: str) -> DataFrame:
+    """Posteriors of every defect and the labels kept, as text."""
+    out = pairs.judged(read_table(spark, directory, "messages"))
+    score = [F.round(F.col("posteriors")[d], 4).alias(f"p_{d}") for d in pairs.DEFECTS]
+    return out.select("message_id", *score, F.array_join("labels", ",").alias("labels"))
