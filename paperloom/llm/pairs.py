@@ -141,7 +141,8 @@ def copy_votes(question: str, answer: str) -> list[int]:
     if not answer_flat:
         return [-1, -1, -1]
     exact = 1 if rest is not None and rest <= LEAD_IN else -1
-    return [exact, 1 if share >= 0.8 else -1 if share < 0.7 else 0, 1 if rest is not None and rest == 0 else -1 if rest is None or rest > 25 else 0]
+    same = -1 if share < 0.7 or (rest or 0) > 25 else 1 if share >= 0.8 else 0
+    return [exact, same, 1 if rest is not None and rest == 0 else -1 if rest is None or rest > 25 else 0]
 
 
 def refusal_votes(answer: str) -> list[int]:
