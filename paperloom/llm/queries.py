@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.plans.registry import Registry
 from paperloom.sources import read_table
 
-from . import conversations, encoding, language, leakage, packing, pairs, splitting
+from . import conversations, encoding, language, leakage, nearcopies, packing, pairs, splitting
 
 REGISTRY = Registry()
 
@@ -88,3 +88,13 @@ def p1_judged(spark: SparkSession, directory: str) -> DataFrame:
     out = pairs.judged(read_table(spark, directory, "messages"))
     score = [F.round(F.col("posteriors")[d], 4).alias(f"p_{d}") for d in pairs.DEFECTS]
     return out.select("message_id", *score, F.array_join("labels", ",").alias("labels"))
+
+
+@REGISTRY.add("p4_found")
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return nearcopies.found(read_table(spark, directory, "papers"))
+
+
+@REGISTRY.add("p4_groups")
+def p4_groups(spark: SparkSession, directory: str) -> DataFrame:
+    return nearcopies.groups(read_table(spark, directory, "papers"))
