@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.plans.registry import Registry
 from paperloom.sources import read_table
 
-from . import conversations, encoding, language, leakage, nearcopies, packing, pairs, splitting
+from . import conversations, encoding, language, leakage, names, nearcopies, packing, pairs, splitting
 
 REGISTRY = Registry()
 
@@ -98,3 +98,13 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.add("p4_groups")
 def p4_groups(spark: SparkSession, directory: str) -> DataFrame:
     return nearcopies.groups(read_table(spark, directory, "papers"))
+
+
+@REGISTRY.add("p2_found")
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return names.found(read_table(spark, directory, "papers"))
+
+
+@REGISTRY.add("p2_entities")
+def p2_entities(spark: SparkSession, directory: str) -> DataFrame:
+    return names.entities(read_table(spark, directory, "papers"))
