@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.session import cut_lineage
@@ -45,7 +45,7 @@ K2, N2 = 1, 3
 FULL_BAND = 36
 HOT = 200
 #: Longs in the parity sketch.
-SKETCH = 4
+SKETCH = 2
 _WORD = re.compile(r"[一-鿿]|(?:(?![一-鿿])[^\W_])+")
 
 
@@ -116,18 +116,17 @@ def records(papers: DataFrame) -> DataFrame:
 
 
 def featured(texts: DataFrame) -> DataFrame:
-    """(id, class, size, features, sketch columns); ``class`` is a 128-bit digest of the set."""
-    from xxhash import xxh128_hexdigest
+    """(id, class, size, features, sketch columns); ``class`` is a 64-bit digest of the set."""
+    from xxhash import xxh3_64_intdigest
 
-    schema = "id string, class string, size int, features binary, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+    schema = "id string, class long, size int, features binary, " + ", ".join(f"s{i} long" for i in range(SKETCH))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [word_pairs(t) for t in frame["text"]]
             marks = np.array([sketch(s) for s in sets]).reshape(-1, SKETCH)
-            yield pd.DataFrame(
-                {"id": frame["id"].to_numpy(), "class": [xxh128_hexdigest(s.tobytes()) for s in sets], "size": [len(s) for s in sets], "features": [s.tobytes() for s in sets]} | {f"s{i}": marks[:, i] for i in range(SKETCH)}
-            )
+            digests = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": frame["id"].to_numpy(), "class": digests, "size": [len(s) for s in sets], "features": [s.tobytes() for s in sets]} | {f"s{i}": marks[:, i] for i in range(SKETCH)})
 
     return texts.mapInPandas(run, schema).where("size > 0")
 
@@ -135,7 +134,7 @@ def featured(texts: DataFrame) -> DataFrame:
 def _signed(reps: DataFrame, threshold: float, instance: int) -> DataFrame:
     """(sig, class, size, sketch): the signatures of every representative."""
     marks = [f"s{i}" for i in range(SKETCH)]
-    schema = "sig long, class string, size int, " + ", ".join(f"{m} long" for m in marks)
+    schema = "sig long, class long, size int, " + ", ".join(f"{m} long" for m in marks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -163,14 +162,12 @@ def _met(signed: DataFrame, key: list[str], threshold: float) -> DataFrame:
 
 def candidates(reps: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
     """Distinct pairs of representatives that share a signature and pass the size and sketch bounds."""
-    signed = cut_lineage(_signed(reps, threshold, 0))
-    crowded = cut_lineage(signed.groupBy("sig").count().where(F.col("count") > hot).select("sig"))
+    counted = _signed(reps, threshold, 0).withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
     # crowded signatures: only together with a signature of the second instance
-    hot_rows = signed.join(crowded, "sig", "left_semi").select("sig", "class")
-    second = _signed(reps.join(hot_rows.select("class").distinct(), "class", "left_semi"), threshold, 1).withColumnRenamed("sig", "sig2")
-    both = second.join(hot_rows, "class").where("sig is not null")
-    calm = _met(signed.join(crowded, "sig", "left_anti"), ["sig"], threshold)
-    return calm.unionByName(_met(both, ["sig", "sig2"], threshold)).distinct()
+    crowded = counted.where(F.col("n") > hot).select("sig", "class")
+    second = _signed(reps, threshold, 1).withColumnRenamed("sig", "sig2")
+    calm = _met(counted.where(F.col("n") <= hot).drop("n"), ["sig"], threshold)
+    return calm.unionByName(_met(crowded.join(second, "class"), ["sig", "sig2"], threshold)).distinct()
 
 
 def alike_classes(reps: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
@@ -189,7 +186,7 @@ def alike_classes(reps: DataFrame, threshold: float = THRESHOLD, hot: int = HOT)
 
     sets = reps.select("class", "features")
     pairs = candidates(reps, threshold, hot).join(sets.toDF("class_a", "fa"), "class_a").join(sets.toDF("class_b", "fb"), "class_b")
-    return pairs.mapInPandas(verify, "class_a string, class_b string, likeness double")
+    return pairs.mapInPandas(verify, "class_a long, class_b long, likeness double")
 
 
 def prepared(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
