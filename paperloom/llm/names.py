@@ -144,7 +144,18 @@ def soft_similarity(a: tuple[list[str], list[str], bool], b: tuple[list[str], li
         return 0.0
     left, right, matched = list(fa), list(fb), 0.0
     total_a, total_b = sum(weight[t] for t in fa), sum(weight[t] for t in fb)
-    options = sorted(((token_likeness(x, y), x, y) for x in fa for y in fb), reverse=True)
+    for parts, wholes, one in ((left, right, True), (right, left, False)):
+        # a compound name written in two words on one side
+        for x, y in list(zip(parts, parts[1:])):
+            whole = next((z for z in wholes if len(z) > 4 and token_likeness(x + y, z) >= 0.92), None)
+            if whole and x in parts and y in parts:
+                parts.remove(x)
+                parts.remove(y)
+                wholes.remove(whole)
+                matched += 0.98 * weight[whole]
+                change = weight[whole] - weight[x] - weight[y]
+                total_a, total_b = (total_a + change, total_b) if one else (total_a, total_b + change)
+    options = sorted(((token_likeness(x, y), x, y) for x in left for y in right), reverse=True)
     for s, x, y in options:
         if s > 0 and x in left and y in right:
             left.remove(x)
@@ -252,9 +263,11 @@ def linked(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     # second keys: a spelled-out token (formal names of short forms too), or an initial that meets an initial or a first letter
     formal = F.create_map(*(F.lit(x) for s, names in FORMAL.items() for x in (s, ",".join(sorted(names)))))
     others = F.filter("full", lambda t: t != F.col("anchor"))
+    compounds = F.expr("transform(sequence(1, greatest(size(full) - 1, 1)), i -> concat(full[i - 1], coalesce(get(full, i), '')))")
     named = F.flatten(F.transform(others, lambda t: F.array_union(F.array(t), F.split(F.coalesce(formal[t], t), ","))))
     first = F.transform(named, lambda t: F.concat(F.lit("#"), F.substring(t, 1, 1)))
     own_initials = F.transform("initials", lambda i: F.concat(F.lit("#"), i))
+    named = F.array_union(named, compounds)
     single = F.when((F.size(others) == 0) & (F.size("initials") == 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     left = known.select("name", "anchor", F.explode(F.array_union(F.array_union(named, single), F.when(F.size("initials") > 0, own_initials).otherwise(F.array().cast("array<string>")))).alias("second"))
     heads = left.join(variants.withColumnRenamed("token", "anchor"), "anchor").select("name", F.col("variant").alias("token"), "second").unionByName(left.select("name", F.col("anchor").alias("token"), "second"))
@@ -263,6 +276,7 @@ def linked(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     spread = known.select("name", "full", "initials", F.explode(F.array_distinct("full")).alias("token"))
     rest = F.filter("full", lambda t: t != F.col("token"))
     rest_named = F.flatten(F.transform(rest, lambda t: F.array_union(F.array(t), F.split(F.coalesce(formal[t], t), ","))))
+    rest_named = F.array_union(rest_named, compounds)
     seconds = F.array_union(
         F.array_union(rest_named, F.transform(rest_named, lambda t: F.concat(F.lit("#"), F.substring(t, 1, 1)))),
         F.array_union(F.transform("initials", lambda i: F.concat(F.lit("#"), i)), F.when((F.size(rest) == 0) & (F.size("initials") == 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))),

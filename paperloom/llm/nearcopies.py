@@ -45,7 +45,7 @@ K2, N2 = 1, 3
 FULL_BAND = 36
 HOT = 200
 #: Longs in the parity sketch.
-SKETCH = 2
+SKETCH = 4
 _WORD = re.compile(r"[一-鿿]|(?:(?![一-鿿])[^\W_])+")
 
 
