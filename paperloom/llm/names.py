@@ -183,7 +183,8 @@ def soft_similarity(a: tuple[list[str], list[str], bool], b: tuple[list[str], li
         ia, ib = list(ia), list(ib)
         for rest, given in ((left, ib), (right, ia)):
             for x in list(rest):
-                first = next((i for i in given if any(n[0] == i for n in FORMAL.get(x, set()) | {x})), None)
+                # the first initial stands for the given name, later ones for middle names
+                first = given[0] if given and any(n[0] == given[0] for n in FORMAL.get(x, set()) | {x}) else None
                 if first is not None:
                     given.remove(first)
                     rest.remove(x)

@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.session import cut_lineage
@@ -43,7 +43,7 @@ THRESHOLD = 0.6
 #: Tolerated differences within a part, and cells of a part.
 K2, N2 = 1, 3
 FULL_BAND = 36
-HOT = 200
+HOT = 4000
 #: Longs in the parity sketch.
 SKETCH = 4
 _WORD = re.compile(r"[一-鿿]|(?:(?![一-鿿])[^\W_])+")
@@ -148,26 +148,75 @@ def _signed(reps: DataFrame, threshold: float, instance: int) -> DataFrame:
     return reps.select("features", "class", "size", *marks).mapInPandas(run, schema)
 
 
-def _met(signed: DataFrame, key: list[str], threshold: float) -> DataFrame:
-    """Pairs of representatives with a common key whose sizes and sketches allow the threshold."""
-    a, b = signed.alias("a"), signed.alias("b")
-    same = F.lit(True)
-    for k in key:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    bits = sum(F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH))
-    fits = (F.col("a.size") >= threshold * F.col("b.size")) & (F.col("b.size") >= threshold * F.col("a.size"))
-    near = bits <= (1 - threshold) / (1 + threshold) * (F.col("a.size") + F.col("b.size")) + 1e-9
-    return a.join(b, same & (F.col("a.class") < F.col("b.class")) & fits & near).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"))
+def _meetings(threshold: float, hot: int, key: list[str]):
+    """For rows sorted by ``key``: pairs of neighbours with one key that the sizes and sketches allow; rows of crowded keys come out alone (class_b null)."""
+    marks = [f"s{i}" for i in range(SKETCH)]
+    factor = (1 - threshold) / (1 + threshold)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        group = (frame[key] != frame[key].shift()).any(axis=1).to_numpy().cumsum()
+        many = np.bincount(group)[group]
+        lone = many > hot
+        crowded = frame.loc[lone, [key[0], "class"]]
+        out = [pd.DataFrame({"sig": crowded[key[0]].to_numpy(), "class_a": crowded["class"].to_numpy(), "class_b": pd.array([None] * len(crowded), dtype="Int64")})]
+        keep = (many > 1) & ~lone
+        group, sizes, ids = group[keep], frame["size"].to_numpy(np.int64)[keep], frame["class"].to_numpy(np.int64)[keep]
+        bits = frame.loc[keep, marks].to_numpy(np.int64).view(np.uint64)
+        step, at = 1, np.arange(max(0, len(group) - 1))
+        while len(at):
+            at = at[at + step < len(group)]
+            at = at[group[at] == group[at + step]]
+            x, y = at, at + step
+            fits = (sizes[x] >= threshold * sizes[y]) & (sizes[y] >= threshold * sizes[x]) & (ids[x] != ids[y])
+            x, y = x[fits], y[fits]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
+            near = apart <= factor * (sizes[x] + sizes[y]) + 1e-9
+            p, q = ids[x[near]], ids[y[near]]
+            if len(p):
+                out.append(pd.DataFrame({"sig": np.int64(0), "class_a": np.minimum(p, q), "class_b": pd.array(np.maximum(p, q), dtype="Int64")}).drop_duplicates())
+            step += 1
+        return pd.concat(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for frame in frames:
+            if not len(frame):
+                continue
+            held.append(frame)
+            rows += len(frame)
+            if rows < 60_000:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            last = whole[key].iloc[-1]
+            open_from = int((whole[key] == last).all(axis=1).to_numpy().argmax())  # the last key may go on in the next batch
+            held, rows = [whole.iloc[open_from:]], len(whole) - open_from
+            if open_from:
+                yield compare(whole.iloc[:open_from].reset_index(drop=True))
+            else:
+                rows = 0  # one key longer than a batch: gather on
+        if held:
+            yield compare(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _met(signed: DataFrame, key: list[str], threshold: float, hot: int) -> DataFrame:
+    placed = signed.repartition(*key).sortWithinPartitions(*key)
+    return placed.mapInPandas(_meetings(threshold, hot, key), "sig long, class_a long, class_b long")
 
 
 def candidates(reps: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
     """Distinct pairs of representatives that share a signature and pass the size and sketch bounds."""
-    counted = _signed(reps, threshold, 0).withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
+    first = cut_lineage(_met(_signed(reps, threshold, 0), ["sig"], threshold, hot).distinct())
+    pairs = first.where("class_b is not null").select("class_a", "class_b")
     # crowded signatures: only together with a signature of the second instance
-    crowded = counted.where(F.col("n") > hot).select("sig", "class")
-    second = _signed(reps, threshold, 1).withColumnRenamed("sig", "sig2")
-    calm = _met(counted.where(F.col("n") <= hot).drop("n"), ["sig"], threshold)
-    return calm.unionByName(_met(crowded.join(second, "class"), ["sig", "sig2"], threshold)).distinct()
+    crowded = first.where("class_b is null").select("sig", F.col("class_a").alias("class"))
+    if crowded.limit(1).count():
+        second = _signed(reps, threshold, 1).withColumnRenamed("sig", "sig2")
+        again = _met(crowded.join(second, "class"), ["sig", "sig2"], threshold, 1 << 62).where("class_b is not null")
+        pairs = pairs.unionByName(again.select("class_a", "class_b"))
+    return pairs.distinct()
 
 
 def alike_classes(reps: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
