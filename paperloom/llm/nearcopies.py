@@ -44,6 +44,8 @@ THRESHOLD = 0.6
 K2, N2 = 1, 3
 FULL_BAND = 36
 HOT = 4000
+#: Buckets above this are compared in blocks of this many rows.
+LARGE, BLOCK = 24, 1024
 #: Longs in the parity sketch.
 SKETCH = 4
 _WORD = re.compile(r"[一-鿿]|(?:(?![一-鿿])[^\W_])+")
@@ -153,13 +155,37 @@ def _meetings(threshold: float, hot: int, key: list[str]):
     marks = [f"s{i}" for i in range(SKETCH)]
     factor = (1 - threshold) / (1 + threshold)
 
+    def passed(p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"sig": np.int64(0), "class_a": np.minimum(p, q), "class_b": pd.array(np.maximum(p, q), dtype="Int64")}).drop_duplicates()
+
+    def blocks(group: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> list[pd.DataFrame]:
+        """Large buckets: differing bits of all pairs of a block at once, as a product of matrices of signs."""
+        found = []
+        signs = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([-1], group, [-1]))))
+        for a, b in zip(edges, edges[1:]):
+            for i in range(a, b, BLOCK):
+                for j in range(i, b, BLOCK):
+                    x, y = slice(i, min(b, i + BLOCK)), slice(j, min(b, j + BLOCK))
+                    apart = (64 * SKETCH - signs[x] @ signs[y].T) / 2
+                    sx, sy = sizes[x].astype(np.float32)[:, None], sizes[y].astype(np.float32)[None, :]
+                    r, c = np.nonzero(apart <= factor * (sx + sy) + 1e-3)
+                    r, c = r + i, c + j
+                    ok = (r < c) & (sizes[r] >= threshold * sizes[c]) & (sizes[c] >= threshold * sizes[r]) & (ids[r] != ids[c])
+                    if ok.any():
+                        found.append(passed(ids[r[ok]], ids[c[ok]]))
+        return found
+
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         group = (frame[key] != frame[key].shift()).any(axis=1).to_numpy().cumsum()
         many = np.bincount(group)[group]
         lone = many > hot
         crowded = frame.loc[lone, [key[0], "class"]]
         out = [pd.DataFrame({"sig": crowded[key[0]].to_numpy(), "class_a": crowded["class"].to_numpy(), "class_b": pd.array([None] * len(crowded), dtype="Int64")})]
-        keep = (many > 1) & ~lone
+        big = (many > LARGE) & ~lone
+        if big.any():
+            out += blocks(group[big], frame["size"].to_numpy(np.int64)[big], frame["class"].to_numpy(np.int64)[big], frame.loc[big, marks].to_numpy(np.int64))
+        keep = (many > 1) & (many <= LARGE)
         group, sizes, ids = group[keep], frame["size"].to_numpy(np.int64)[keep], frame["class"].to_numpy(np.int64)[keep]
         bits = frame.loc[keep, marks].to_numpy(np.int64).view(np.uint64)
         step, at = 1, np.arange(max(0, len(group) - 1))
@@ -173,7 +199,7 @@ def _meetings(threshold: float, hot: int, key: list[str]):
             near = apart <= factor * (sizes[x] + sizes[y]) + 1e-9
             p, q = ids[x[near]], ids[y[near]]
             if len(p):
-                out.append(pd.DataFrame({"sig": np.int64(0), "class_a": np.minimum(p, q), "class_b": pd.array(np.maximum(p, q), dtype="Int64")}).drop_duplicates())
+                out.append(passed(p, q))
             step += 1
         return pd.concat(out)
 
