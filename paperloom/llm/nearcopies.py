@@ -161,7 +161,7 @@ def _meetings(threshold: float, hot: int, key: list[str]):
     def blocks(group: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> list[pd.DataFrame]:
         """Large buckets: differing bits of all pairs of a block at once, as a product of matrices of signs."""
         found = []
-        signs = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        signs = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
         edges = np.flatnonzero(np.diff(np.concatenate(([-1], group, [-1]))))
         for a, b in zip(edges, edges[1:]):
             for i in range(a, b, BLOCK):
