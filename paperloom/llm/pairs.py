@@ -60,10 +60,22 @@ REDIRECT = re.compile(
     re.I,
 )
 STOPWORDS = {
-    "en": "the of and is are was were that for with to by on not this in we it an at from be a which should only no yes across when does what how would them each more better between about".split(),
-    "de": "der die das den dem des und nicht wird wurde wie ist sind dass werden haben hat für bei von zu auf ein eine einen warum ob nur sich kaum über es ich diese in mit auf was welche im".split(),
-    "fr": "le la les des du une un est et que qui dans pour été sur plus avec sont ont comment pourquoi si n'a au aux ce cette en de ne pas je vous nous par reste l'on".split(),
-    "es": "el los las una un es que por del se en fue sobre para con más y la de cómo no como sin lo al su puede son está resultó qué dos".split(),
+    "en": (
+        "the of and is are was were that for with to by on not this in we it an at from be a which should only no yes across when does what how would them each more better between about "
+        "against after before during near under over without within behind but than its their our your you they has have had been being may might will can could must do did if so or as all both through into while because since until per using used every there these those also where who why i my he she his her us"
+    ).split(),
+    "de": (
+        "der die das den dem des und nicht wird wurde wie ist sind dass werden haben hat für bei von zu auf ein eine einen warum ob nur sich kaum über es ich diese in mit auf was welche im "
+        "einer eines einem als auch aber aus nach vor unter zwischen durch gegen ohne um war waren wir sie er kann können soll sollte könnten bislang noch schon mehr sehr zum zur vom am beim wenn weil damit oder jedoch diesem dieser dieses kein keine ja nein"
+    ).split(),
+    "fr": (
+        "le la les des du une un est et que qui dans pour été sur plus avec sont ont comment pourquoi si n'a au aux ce cette en de ne pas je vous nous par reste l'on "
+        "il elle ils elles son sa ses leur leurs mais ou où donc car comme sans sous entre vers chez peut peuvent être avoir fait très aussi même quand cet ces notre votre était étaient oui non afin mieux selon"
+    ).split(),
+    "es": (
+        "el los las una un es que por del se en fue sobre para con más y la de cómo no como sin lo al su puede son está resultó qué dos "
+        "pero o u ni si sus este esta estos estas ese esa muy también entre desde hasta cuando donde porque ser era eran ha han fueron nos nosotros sí solo según durante bajo cada otro otra todos mejor"
+    ).split(),
 }
 MARKS = {"de": "äöüß", "fr": "àâçèêëîïôûùœ", "es": "áíóúñ¿¡"}
 #: Language names that a question may ask for.
