@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import plain
+
 #: Kept positions per mask; all masks span the least overlap that counts.
 WORD_MASKS = ("110110110111", "111010011101", "101111001011")
 CHAR_MASKS = ("110110110110110110110111", "111010011101111010011101", "101111001011101111001011")
@@ -94,7 +96,7 @@ def test_seeds(items: DataFrame) -> DataFrame:
     """(item_id, track, seed, place) of every window of every item."""
     schema = "item_id long, track string, seed long, place long"
     named = items.select(F.col("item_id").cast("long"), "text", F.when(F.lower(F.col("lang")).startswith("zh"), "chars").otherwise("words").alias("track")).where("text is not null")
-    return named.mapInPandas(lambda frames: _seed_frames(frames, "item_id", None, None), schema)
+    return named.mapInPandas(plain(lambda frames: _seed_frames(frames, "item_id", None, None)), schema)
 
 
 def _filter_bits(seeds_of_items: DataFrame) -> dict[str, np.ndarray]:
@@ -161,7 +163,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
             for track, filled in bits.items():
                 yield from _seed_frames(iter([frame]), "doc_id", track, filled)
 
-    windows = texts.mapInPandas(scan, "doc_id long, track string, seed long, place long")
+    windows = texts.mapInPandas(plain(scan), "doc_id long, track string, seed long, place long")
     hits = (
         windows.join(tests.withColumnRenamed("place", "item_place"), ["track", "seed"])
         .select("doc_id", "item_id", "track", (F.col("place") - F.col("item_place")).alias("diagonal"))
@@ -171,7 +173,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     )
     with_texts = hits.join(items.select(F.col("item_id").cast("long"), F.col("text").alias("item_text")), "item_id").join(texts, "doc_id")
     return with_texts.select("doc_id", "item_id", "track", "text", "item_text", "diagonals").mapInPandas(
-        _verify, "doc_id long, item_id long, track string, exact_run long, matched long, overlap long, leaked boolean"
+        plain(_verify), "doc_id long, item_id long, track string, exact_run long, matched long, overlap long, leaked boolean"
     )
 
 

@@ -6,9 +6,9 @@ joins follow, all on keys:
 1. *Token q-grams.* Tokens whose padded 2-gram sets overlap in all but three grams can be one typing error apart
    (an error touches at most three). Grams are ordered by rarity; sets with that overlap share a gram among the four
    rarest of each (prefix filter), so only those prefixes are joined, and the survivors are checked for one edit.
-2. *Spellings.* The anchor of a spelling is its rarest token (document frequency summed over its typing variants). Two
-   spellings meet if one's anchor is a variant of a token of the other and they share a second token, a nickname of it,
-   or an initial.
+2. *Spellings.* Two spellings meet if they share two tokens, up to typing variants and short forms, or if the anchor of
+   one, its rarest token (document frequency summed over typing variants), is a variant of a token of the other and they
+   share an initial.
 3. *Soft weighted token similarity.* Tokens are matched with weights by rarity: equal 1, typing variant 0.92, nickname or
    abbreviation 0.95, initial 0.9 of the weight of the spelled-out token. A pair holds if the matched weight reaches
    ``THRESHOLD`` of the larger side and not both sides keep a spelled-out token unmatched.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from paperloom.session import cut_lineage
 
+from .frames import plain
+
 THRESHOLD = 0.78
 PREFIX = 4
 #: Tokens shorter than this have no typing variants.
@@ -215,7 +217,7 @@ def spellings(papers: DataFrame) -> DataFrame:
             parsed = [parse(x) for x in frame["name"]]
             yield pd.DataFrame({"name": frame["name"], "full": [p[0] for p in parsed], "initials": [p[1] for p in parsed], "org": [p[2] for p in parsed], "n": frame["n"]})
 
-    return counted.mapInPandas(run, "name string, full array<string>, initials array<string>, org boolean, n long").where(F.size("full") > 0)
+    return counted.mapInPandas(plain(run), "name string, full array<string>, initials array<string>, org boolean, n long").where(F.size("full") > 0)
 
 
 def token_variants(tokens: DataFrame) -> DataFrame:
@@ -239,7 +241,7 @@ def token_variants(tokens: DataFrame) -> DataFrame:
             keep = [one_edit(x, y) for x, y in zip(frame["x"], frame["y"])]
             yield frame[keep]
 
-    half = cut_lineage(met.mapInPandas(check, "x string, y string"))
+    half = cut_lineage(met.mapInPandas(plain(check), "x string, y string"))
     return half.toDF("token", "variant").unionByName(half.select(F.col("y").alias("token"), F.col("x").alias("variant")))
 
 
@@ -272,12 +274,15 @@ def linked(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = F.when((F.size(others) == 0) & (F.size("initials") == 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     left = known.select("name", "anchor", F.explode(F.array_union(F.array_union(named, single), F.when(F.size("initials") > 0, own_initials).otherwise(F.array().cast("array<string>")))).alias("second"))
     heads = left.join(variants.withColumnRenamed("token", "anchor"), "anchor").select("name", F.col("variant").alias("token"), "second").unionByName(left.select("name", F.col("anchor").alias("token"), "second"))
-    # seconds reach their typing variants as well
-    heads = heads.join(variants.toDF("second", "other"), "second").select("name", "token", F.col("other").alias("second")).unionByName(heads).distinct()
+    # the other tokens too, but only together with a spelled-out second one: a rare short form may have taken the anchor's place
     spread = known.select("name", "full", "initials", F.explode(F.array_distinct("full")).alias("token"))
     rest = F.filter("full", lambda t: t != F.col("token"))
     rest_named = F.flatten(F.transform(rest, lambda t: F.array_union(F.array(t), F.split(F.coalesce(formal[t], t), ","))))
     rest_named = F.array_union(rest_named, compounds)
+    also = spread.select("name", "token", F.explode(rest_named).alias("second"))
+    heads = heads.unionByName(also).unionByName(also.join(variants, "token").select("name", F.col("variant").alias("token"), "second"))
+    # seconds reach their typing variants as well
+    heads = heads.join(variants.toDF("second", "other"), "second").select("name", "token", F.col("other").alias("second")).unionByName(heads).distinct()
     seconds = F.array_union(
         F.array_union(rest_named, F.transform(rest_named, lambda t: F.concat(F.lit("#"), F.substring(t, 1, 1)))),
         F.array_union(F.transform("initials", lambda i: F.concat(F.lit("#"), i)), F.when((F.size(rest) == 0) & (F.size("initials") == 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))),
@@ -297,7 +302,7 @@ def linked(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
                     rows.append((a, b, score))
             yield pd.DataFrame(rows, columns=["a", "b", "score"])
 
-    return known, cut_lineage(pairs.mapInPandas(verify, "a string, b string, score double"))
+    return known, cut_lineage(pairs.mapInPandas(plain(verify), "a string, b string, score double"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

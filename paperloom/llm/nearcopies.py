@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from paperloom.session import cut_lineage
 
 from .conversations import blank, clean_id
+from .frames import plain
 
 THRESHOLD = 0.6
 #: Tolerated differences within a part, and cells of a part.
@@ -130,7 +131,7 @@ def featured(texts: DataFrame) -> DataFrame:
             digests = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": frame["id"].to_numpy(), "class": digests, "size": [len(s) for s in sets], "features": [s.tobytes() for s in sets]} | {f"s{i}": marks[:, i] for i in range(SKETCH)})
 
-    return texts.mapInPandas(run, schema).where("size > 0")
+    return texts.mapInPandas(plain(run), schema).where("size > 0")
 
 
 def _signed(reps: DataFrame, threshold: float, instance: int) -> DataFrame:
@@ -147,7 +148,7 @@ def _signed(reps: DataFrame, threshold: float, instance: int) -> DataFrame:
                 row = np.repeat(np.arange(len(part)), n)
                 yield pd.DataFrame({"sig": np.concatenate(signed).view(np.int64)} | {c: part[c].to_numpy()[row] for c in ("class", "size", *marks)})
 
-    return reps.select("features", "class", "size", *marks).mapInPandas(run, schema)
+    return reps.select("features", "class", "size", *marks).mapInPandas(plain(run), schema)
 
 
 def _meetings(threshold: float, hot: int, key: list[str]):
@@ -229,7 +230,7 @@ def _meetings(threshold: float, hot: int, key: list[str]):
 
 def _met(signed: DataFrame, key: list[str], threshold: float, hot: int) -> DataFrame:
     placed = signed.repartition(*key).sortWithinPartitions(*key)
-    return placed.mapInPandas(_meetings(threshold, hot, key), "sig long, class_a long, class_b long")
+    return placed.mapInPandas(plain(_meetings(threshold, hot, key)), "sig long, class_a long, class_b long")
 
 
 def candidates(reps: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
@@ -261,7 +262,7 @@ def alike_classes(reps: DataFrame, threshold: float = THRESHOLD, hot: int = HOT)
 
     sets = reps.select("class", "features")
     pairs = candidates(reps, threshold, hot).join(sets.toDF("class_a", "fa"), "class_a").join(sets.toDF("class_b", "fb"), "class_b")
-    return pairs.mapInPandas(verify, "class_a long, class_b long, likeness double")
+    return pairs.mapInPandas(plain(verify), "class_a long, class_b long, likeness double")
 
 
 def prepared(papers: DataFrame) -> tuple[DataFrame, DataFrame]:

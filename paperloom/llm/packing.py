@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from paperloom.session import cut_lineage
 
+from .frames import plain
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PART_ITEMS = 20_000
 ROUNDS = 2
@@ -53,7 +55,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "tokens": counts})
 
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return texts.mapInPandas(run, "doc_id long, tokens long").where("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    return texts.mapInPandas(plain(run), "doc_id long, tokens long").where("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
 def bound_sums(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -170,7 +172,7 @@ def certificate(packed: DataFrame) -> DataFrame:
                 for no, value in enumerate(bound_sums(size, int(capacity))):
                     yield pd.DataFrame({"pack": [name], "function": [no], "value": [value]})
 
-    bound = packed.select("pack", "capacity", "token_begin", "token_end").mapInPandas(sums, "pack string, function int, value double")
+    bound = packed.select("pack", "capacity", "token_begin", "token_end").mapInPandas(plain(sums), "pack string, function int, value double")
     bound = bound.groupBy("pack", "function").agg(F.sum("value").alias("value")).groupBy("pack").agg(F.ceil(F.max("value") - 1e-6).alias("bound"))
     used = packed.groupBy("pack", "part").agg(F.first("part_bins").alias("bins"), F.first("part_bound").alias("part_bound"), F.sum(F.col("token_end") - F.col("token_begin")).alias("tokens"), F.first("capacity").alias("capacity"))
     total = used.groupBy("pack").agg(F.first("capacity").alias("capacity"), F.sum("bins").alias("containers"), F.sum("tokens").alias("tokens"), F.count("*").alias("parts"), F.sum((F.col("bins") == F.col("part_bound")).cast("long")).alias("certified_parts"))

@@ -25,6 +25,7 @@ from paperloom.session import cut_lineage
 
 from .conversations import normalised, once, placed
 from .labelmodel import Declared, LabelModel
+from .frames import plain
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "wrong_language")
 CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "truncated": 0.5, "wrong_language": 0.5}
@@ -272,7 +273,7 @@ def voted(found_pairs: DataFrame) -> DataFrame:
             rows = [votes(q, a) for q, a in zip(frame["question"], frame["answer"])]
             yield pd.DataFrame({"message_id": frame["message_id"], **{d: ["".join("-0+"[v + 1] for v in r[d]) for r in rows] for d in DEFECTS}})
 
-    return found_pairs.select("message_id", "question", "answer").mapInPandas(run, "message_id string, " + ", ".join(f"{d} string" for d in DEFECTS))
+    return found_pairs.select("message_id", "question", "answer").mapInPandas(plain(run), "message_id string, " + ", ".join(f"{d} string" for d in DEFECTS))
 
 
 def fit_models(ballots: DataFrame) -> dict[str, dict[str, float]]:

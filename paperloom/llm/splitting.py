@@ -23,6 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .conversations import clean_id
+from .frames import plain
+
 BLOCK = 240
 _KINDS = [
     re.compile(r"\n\s*\n\s*"),
@@ -106,11 +109,12 @@ def limits(size_limits: DataFrame, names: tuple[str, ...]) -> dict[str, tuple[in
 def distinct_leaves(leaves: DataFrame) -> DataFrame:
     """One row per (paper_id, leaf_no)."""
     kept = F.max(F.struct(F.length("summary").alias("n"), "summary", "start_page", "end_page")).alias("row")
-    return leaves.where("paper_id is not null and leaf_no is not null").groupBy("paper_id", "leaf_no").agg(kept).select("paper_id", "leaf_no", "row.summary", "row.start_page", "row.end_page")
+    return leaves.withColumn("paper_id", clean_id("paper_id")).where("paper_id is not null and leaf_no is not null").groupBy("paper_id", "leaf_no").agg(kept).select("paper_id", "leaf_no", "row.summary", "row.start_page", "row.end_page")
 
 
 def page_texts(leaves: DataFrame, pages: DataFrame, limit: int) -> DataFrame:
     """(paper_id, leaf_no, text) of the leaves whose joined pages exceed ``limit``; an equi-join on page numbers, so that a paper with many leaves stays linear."""
+    pages = pages.withColumn("paper_id", clean_id("paper_id"))
     once = pages.where("paper_id is not null and page_no is not null").groupBy("paper_id", "page_no").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     last = pages.groupBy("paper_id").agg(F.max("page_no").alias("last"), F.min("page_no").alias("first"))
     wanted = (
@@ -149,7 +153,7 @@ def pieces(leaves: DataFrame, pages: DataFrame, size_limits: DataFrame) -> DataF
     if not parts:
         return kept.sparkSession.createDataFrame([], schema)
     oversized = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return oversized.mapInPandas(run, schema)
+    return oversized.mapInPandas(plain(run), schema)
 
 
 def found(leaves: DataFrame, pages: DataFrame, size_limits: DataFrame) -> DataFrame:
