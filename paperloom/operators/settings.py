@@ -36,6 +36,35 @@ def resolved(requests: DataFrame, known: DataFrame, chat_profile: str | None) ->
     return out.select("request", F.when(F.col("_known"), F.col("profile_id")).otherwise(F.coalesce("chat_id", "first_id")).alias("resolved"))
 
 
+def _fields() -> list[str]:
+    return list(DEFAULT_PROFILE)
+
+
+def profile_added(known: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (one row of profile fields) at the end of the list."""
+    end = known.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("pos"))
+    return known.select("pos", *_fields()).unionByName(new.select(*_fields()).join(end, F.lit(True)).select("pos", *_fields()))
+
+
+def profile_updated(known: DataFrame, patch: DataFrame) -> DataFrame:
+    """Fields of the patch (id and any others) over those of the profile with its id; nulls keep."""
+    new = patch.select("id", *(F.col(c).alias(f"_{c}") for c in patch.columns if c != "id"))
+    out = known.join(new, "id", "left")
+    return out.select("pos", *(F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in new.columns else F.col(c) for c in _fields()))
+
+
+def profile_removed(known: DataFrame, profile_id: str) -> DataFrame:
+    """The list without the profile; the last one stays."""
+    several = known.agg((F.count("*") > 1).alias("several"))
+    return known.join(several, F.lit(True)).where(~F.col("several") | (F.col("id") != profile_id)).drop("several")
+
+
+def profile_value(known: DataFrame) -> DataFrame:
+    """The list as one setting value."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.struct(*_fields()).alias("p"))))
+    return known.agg(F.to_json(F.transform(rows, lambda r: r["p"])).alias("value"))
+
+
 def request_body(provider: Column, model: Column, messages: Column, temperature: Column, max_tokens: Column, top_k: Column) -> Column:
     """The JSON body for a provider: a local server takes options, the others temperature and a token limit, one of them a top-k."""
     limited = F.when(top_k > 0, top_k)

@@ -160,6 +160,38 @@ def q_profile_migrate(spark: SparkSession, d: str) -> DataFrame:
     return S.migrated(old).select("id", "name", "provider", "model", "temperature", F.col("maxTokens").alias("max_tokens"), F.col("topK").alias("top_k"))
 
 
+@query("q_profile_edit", "SELECT * FROM (VALUES (0, 'p1', 'Renamed', 'llama3'), (1, 'default', 'Default', 'gpt-4o-mini')) v(pos, id, name, model)")
+def q_profile_edit(spark: SparkSession, d: str) -> DataFrame:
+    """A profile is added, one renamed, one removed."""
+    known = S.profiles(settings(spark))
+    new = spark.createDataFrame([tuple(S.DEFAULT_PROFILE.values())], "id string, name string, provider string, model string, apiKey string, baseUrl string, temperature double, maxTokens int, topK int, systemPrompt string")
+    patch = spark.createDataFrame([("p1", "Renamed")], "id string, name string")
+    out = S.profile_removed(S.profile_updated(S.profile_added(known, new), patch), "p2")
+    from pyspark.sql import Window
+
+    return out.select((F.row_number().over(Window.orderBy("pos")) - 1).alias("pos"), "id", "name", "model")
+
+
+@query("q_kb_insert", "SELECT id, name FROM knowledge_bases UNION ALL SELECT 'fresh', 'Fresh'")
+def q_kb_insert(spark: SparkSession, d: str) -> DataFrame:
+    kbs = read_table(spark, d, "knowledge_bases")
+    rows = spark.createDataFrame([("fresh", "Fresh", "", "#000000", 0), ("default", "Again", "", "#000000", 0)], "id string, name string, description string, color string, created_at bigint")
+    return M.inserted(kbs, rows, "id").select("id", "name")
+
+
+@query("q_kb_seed", "SELECT count(*) AS collections, count(*) FILTER (id = 'default') AS defaults FROM knowledge_bases")
+def q_kb_seed(spark: SparkSession, d: str) -> DataFrame:
+    """A library that has collections is not seeded again."""
+    return M.seeded(read_table(spark, d, "knowledge_bases"), 0).agg(F.count("*").alias("collections"), F.count_if(F.col("id") == "default").alias("defaults"))
+
+
+@query("q_highlight_delete", "SELECT count(*) AS highlights FROM (SELECT DISTINCT paper_id || '#' || leaf_no AS id FROM section_leaves WHERE paper_id IS NOT NULL AND leaf_no <> 0)")
+def q_highlight_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Section titles stand for highlights; those of first sections are removed."""
+    marks = read_table(spark, d, "section_leaves").where("paper_id is not null").select(F.concat("paper_id", F.lit("#"), F.col("leaf_no").cast("string")).alias("id"), "leaf_no").distinct()
+    return M.without(marks, marks.where("leaf_no = 0").select("id"), "id").select("id").distinct().agg(F.count("*").alias("highlights"))
+
+
 @query(
     "q_request_shape",
     """SELECT id, timestamp, CASE ascii(substring(id, 1, 1)) % 3 WHEN 0 THEN '{"model":"m","messages":1,"stream":false,"options":{"top_k":40}}' WHEN 1 THEN '{"model":"m","messages":1,"temperature":0.7,"max_tokens":2048,"top_k":40}'

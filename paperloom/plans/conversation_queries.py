@@ -91,3 +91,23 @@ def q_math_normalize(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_last_message(spark: SparkSession, d: str) -> DataFrame:
     return C.recent(read_table(spark, d, "messages").where("conversation_id is not null"), 1).select("conversation_id", "id")
+
+
+@query(
+    "q_paper_conv_numbering",
+    """SELECT paper_id, id, row_number() OVER (PARTITION BY paper_id ORDER BY created_at NULLS FIRST, id, title NULLS FIRST) AS number, count(*) OVER (PARTITION BY paper_id) + 1 AS next_number
+       FROM (SELECT DISTINCT id, title, created_at, unnest(paper_ids) AS paper_id FROM conversations)""",
+)
+def q_paper_conv_numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations numbered per paper, and the number the next one gets."""
+    from pyspark.sql import Window
+
+    named = read_table(spark, d, "conversations").select("id", "title", "created_at", F.explode("paper_ids").alias("paper_id")).distinct()
+    order = Window.partitionBy("paper_id").orderBy(F.asc_nulls_first("created_at"), "id", F.asc_nulls_first("title"))
+    per = named.groupBy("paper_id").agg((F.count("*") + 1).alias("next_number"))
+    return named.withColumn("number", F.row_number().over(order)).join(per, "paper_id").select("paper_id", "id", "number", "next_number")
+
+
+@query("q_message_previews", "SELECT id, timestamp, substring(coalesce(content, ''), 1, 40) || CASE WHEN length(coalesce(content, '')) > 40 THEN '…' ELSE '' END AS preview, coalesce(len(sources), 0) AS n_sources FROM messages")
+def q_message_previews(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "messages").select("id", "timestamp", T.preview(F.col("content"), 40).alias("preview"), F.coalesce(F.size("sources"), F.lit(0)).cast("bigint").alias("n_sources"))
