@@ -39,6 +39,15 @@ STAY, LEAVE = math.log(0.98), math.log(0.3)
 NEVER = -1e9
 
 
+# Letter frequencies of Russian text, in per mille.
+CYRILLIC = dict(
+    zip(
+        "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё",
+        (109, 84, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 1),
+    )
+)
+
+
 @lru_cache(1 << 16)
 def clean_class(ch: str) -> tuple[str, float]:
     """Class of a character and the log-probability that clean text shows it."""
@@ -62,9 +71,9 @@ def clean_class(ch: str) -> tuple[str, float]:
     if 0xA0 <= c <= 0xBF:
         return "m", math.log(0.002 / 20)
     if 0x430 <= c <= 0x44F or c == 0x451:
-        return "k", math.log(0.5 / 33)
+        return "k", math.log(0.5 * CYRILLIC[ch] / 1000)
     if 0x410 <= c <= 0x42F or c == 0x401:
-        return "K", math.log(0.05 / 33)
+        return "K", math.log(0.05 * CYRILLIC[ch.lower()] / 1000)
     if 0x4E00 <= c <= 0x9FFF:
         try:
             row = ch.encode("gb2312")[0]
@@ -83,7 +92,7 @@ def clean_class(ch: str) -> tuple[str, float]:
 
 
 #: Log factors for neighbouring classes in clean text; other neighbours are free.
-NEXT = {("l", "l"): -3.0, ("U", "U"): -1.2, ("l", "U"): -3.5, ("U", "l"): -3.0} | {(a, b): -3.9 for a in "lU" for b in "msc"} | {("U", "t"): -3.9, ("l", "t"): -1.0}
+NEXT = {("K", "K"): 2.0, ("k", "K"): -3.0, ("l", "l"): -3.0, ("U", "U"): -1.2, ("l", "U"): -3.5, ("U", "l"): -3.0} | {(a, b): -3.9 for a in "lU" for b in "msc"} | {("U", "t"): -3.9, ("l", "t"): -1.0}
 
 
 def _bytes_of(codec: str) -> dict[str, int]:
@@ -101,9 +110,16 @@ _NEED = [0] * 256
 for _b in range(0xC2, 0xF5):
     _NEED[_b] = 1 if _b < 0xE0 else 2 if _b < 0xF0 else 3
 #: States: 0 clean, 1 lost, then the pairs.
-PAIRS = [("utf-8", w) for w in SINGLE] + [("gbk", "cp1252"), ("gbk", "latin-1"), ("cp1251", "cp1252"), ("cp1251", "latin-1")] + [("utf-8", w) for w in DOUBLE]
-ENTER = list(SINGLE.values()) + [-9.2, -9.2, -9.2, -9.2] + list(DOUBLE.values())
-FIRST_DOUBLE = len(SINGLE) + 4
+GBK = {("gbk", "cp1252"): -9.2, ("gbk", "latin-1"): -9.2}
+#: Cyrillic encodings read as another single-byte encoding, letter by letter.
+LETTERS = {
+    ("cp1251", "cp1252"): -9.2, ("cp1251", "latin-1"): -9.2, ("koi8-r", "cp1252"): -9.2, ("koi8-r", "latin-1"): -9.2,
+    ("koi8-r", "cp1251"): -6.0, ("cp1251", "koi8-r"): -8.0, ("cp866", "cp1251"): -9.2, ("cp1251", "cp866"): -9.2,
+}
+PAIRS = [("utf-8", w) for w in SINGLE] + [*GBK] + [*LETTERS] + [("utf-8", w) for w in DOUBLE]
+ENTER = [*SINGLE.values(), *GBK.values(), *LETTERS.values(), *DOUBLE.values()]
+FIRST_GBK, FIRST_LETTERS = len(SINGLE), len(SINGLE) + len(GBK)
+FIRST_DOUBLE = FIRST_LETTERS + len(LETTERS)
 
 
 @lru_cache(1 << 16)
@@ -166,7 +182,7 @@ def _groups(text: str, i: int) -> list[tuple[int, int, float]]:
                 except UnicodeDecodeError:
                     continue
                 out.append((at, n + 1, clean_class(x)[1]))
-    for at in (len(SINGLE), len(SINGLE) + 1):
+    for at in range(FIRST_GBK, FIRST_LETTERS):
         table = BYTES[PAIRS[at][1]]
         if i + 1 < len(text) and text[i] in table:
             b = table.get(text[i + 1], ord(text[i + 1]) if text[i + 1] < "\x80" else 0)
@@ -178,14 +194,15 @@ def _groups(text: str, i: int) -> list[tuple[int, int, float]]:
                 kind, score = clean_class(x)
                 if kind in "hp":
                     out.append((at, 2, score - 6 * (b < 0x80)))
-    for at in (len(SINGLE) + 2, len(SINGLE) + 3):
-        b = BYTES[PAIRS[at][1]].get(text[i])
+    for at in range(FIRST_LETTERS, FIRST_DOUBLE):
+        true, wrong = PAIRS[at]
+        b = BYTES[wrong].get(text[i])
         if b is not None:
             try:
-                kind, score = clean_class(bytes([b]).decode("cp1251"))
+                kind, score = clean_class(bytes([b]).decode(true))
             except UnicodeDecodeError:
                 continue
-            if kind in "kKstm":
+            if kind in "kK" or (kind in "stm" and wrong in ("cp1252", "latin-1")):
                 out.append((at, 1, score))
     return out
 
@@ -241,6 +258,24 @@ def label(stretch: str) -> tuple[tuple[int, int, int], ...]:
     return tuple(sorted(spans))
 
 
+def _whole_words(stretch: str, spans: tuple[tuple[int, int, int], ...]) -> list[tuple[int, int, int]]:
+    """Spans of Cyrillic letters grow over at most two clean letters left at either end of a word."""
+    out = []
+    for at, (begin, end, pair) in enumerate(spans):
+        if FIRST_LETTERS <= pair < FIRST_DOUBLE:
+            table = BYTES[PAIRS[pair][1]]
+            low = out[-1][1] if out else 0
+            high = spans[at + 1][0] if at + 1 < len(spans) else len(stretch)
+            left, right = begin, end
+            while left > low and stretch[left - 1].isalpha() and stretch[left - 1] in table:
+                left -= 1
+            while right < high and stretch[right].isalpha() and stretch[right] in table:
+                right += 1
+            begin, end = left if begin - left <= 2 else begin, right if right - end <= 2 else end
+        out.append((begin, end, pair))
+    return out
+
+
 def undo(span: str, pair: int) -> tuple[str, bool]:
     """The text a span stands for, and whether every character of it could be regained."""
     if pair < 0:
@@ -266,7 +301,7 @@ def repair(text: str | None) -> tuple[str | None, int, str, bool]:
         pieces, at, changed = [], 0, False
         for match in _STRETCH.finditer(current):
             stretch = match.group()
-            for begin, end, pair in label(stretch) if len(stretch) <= 4000 else _long(stretch):
+            for begin, end, pair in _whole_words(stretch, label(stretch) if len(stretch) <= 4000 else tuple(_long(stretch))):
                 begin, end = begin + match.start(), end + match.start()
                 fixed, complete = undo(current[begin:end], pair)
                 if turn == 0 or pair >= 0:

@@ -28,11 +28,15 @@ def test_other_pairs():
     assert E.repair(spoil(TEXTS[3], "gbk", "cp1252"))[0] == TEXTS[3]
     assert E.repair(spoil(TEXTS[2], "cp1251", "cp1252"))[0] == TEXTS[2]
     assert E.repair(spoil(TEXTS[2], "utf-8", "cp1251"))[0] == TEXTS[2]
+    assert E.repair(spoil(TEXTS[2], "koi8-r", "cp1251"))[0] == TEXTS[2]
+    assert E.repair("Результаты " + spoil("говорят", "koi8-r", "cp1251") + ".")[0] == "Результаты говорят."
+    assert E.repair(spoil(TEXTS[2], "cp1251", "koi8-r"))[0] == TEXTS[2]
+    assert E.repair(spoil(TEXTS[2], "koi8-r", "cp1252"))[0] == TEXTS[2]
     garbled = spoil(TEXTS[3], "utf-8", "gbk")
     assert E.repair(garbled)[1] > 0
 
 
-@pytest.mark.parametrize("text", [*TEXTS, "SÃO 52 AMOSTRAS DA ESTAÇÃO", "ÂGE MÉDIAN : 23 ; TÂCHE ; ÉTÉ.", "Die Größe Ä60 in ÄÖÜ-Schreibung", "În câmpia Âmara s-au măsurat 15 râuri.", "The symbols ± µ § ¶ © ® appear", "", None, "plain", "СССР» и «РФ»", "读楠璟泠诗的人"])
+@pytest.mark.parametrize("text", [*TEXTS, "SÃO 52 AMOSTRAS DA ESTAÇÃO", "ÂGE MÉDIAN : 23 ; TÂCHE ; ÉTÉ.", "Die Größe Ä60 in ÄÖÜ-Schreibung", "În câmpia Âmara s-au măsurat 15 râuri.", "The symbols ± µ § ¶ © ® appear", "", None, "plain", "СССР» и «РФ»", "ОШИБКА СНИЖАЕТСЯ В СССР, США и на БАМе", "В МГУ и ГЭС", "读楠璟泠诗的人"])
 def test_clean_stays(text):
     assert E.repair(text) == (text, 0, "", True)
 
