@@ -152,16 +152,26 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "item_id", "track", "exact_run", "matched", "overlap", "leaked"])
 
 
+def _needs_han(items: DataFrame) -> bool:
+    """Whether every window of the character items holds a Chinese character, so that texts without any can be passed over."""
+    bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
+    span = len(CHAR_MASKS[0])
+    other = items.where(F.lower("lang").startswith("zh")).where(bare.rlike(f"[^一-鿿]{{{span}}}"))
+    return other.limit(1).count() == 0
+
+
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Every (document, item) with a seed hit: longest exact run, substitution-tolerant overlap, and whether the exact run reaches the span."""
     tests = test_seeds(items)
     bits = _filter_bits(tests)
+    han_only = _needs_han(items)
     texts = documents.select(F.col("doc_id").cast("long"), "text").where("text is not null")
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for track, filled in bits.items():
-                yield from _seed_frames(iter([frame]), "doc_id", track, filled)
+                part = frame[frame["text"].str.contains("[一-鿿]")] if track == "chars" and han_only else frame
+                yield from _seed_frames(iter([part]), "doc_id", track, filled)
 
     windows = texts.mapInPandas(plain(scan), "doc_id long, track string, seed long, place long")
     hits = (

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.graph import components
 from paperloom.session import cut_lineage
 
 from .frames import plain
@@ -305,20 +306,6 @@ def linked(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, cut_lineage(pairs.mapInPandas(plain(verify), "a string, b string, score double"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, root): least name of each connected component; labels double their reach in every round."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = cut_lineage(nodes.select("name", F.col("name").alias("root")))
-    while True:
-        low = both.join(state.select(F.col("name").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        fresh = state.join(low.withColumnRenamed("a", "name"), "name", "left").select("name", "root", F.least("root", F.coalesce("low", "root")).alias("next"))
-        jump = state.select(F.col("name").alias("next"), F.col("root").alias("far"))
-        after = cut_lineage(fresh.join(jump, "next", "left").select("name", "root", F.least("next", F.coalesce("far", "next")).alias("next")))
-        if after.where("root != next").limit(1).count() == 0:
-            return after.select("name", "root")
-        state = after.select("name", F.col("next").alias("root"))
-
-
 def entities(papers: DataFrame) -> DataFrame:
     """(name, entity): every spelling with the entity it belongs to, named by one of its spellings."""
     known, links = linked(papers)
@@ -327,7 +314,7 @@ def entities(papers: DataFrame) -> DataFrame:
     s = cut_lineage(short)
     both = links.select("a", "b", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     full_links = links.join(s.select(F.col("name").alias("a")), "a", "left_anti").join(s.select(F.col("name").alias("b")), "b", "left_anti")
-    rooted = cut_lineage(components(spelled, full_links))
+    rooted = cut_lineage(components(spelled, full_links, "name"))
     fits = both.join(s.select(F.col("name").alias("a")), "a", "left_semi").join(rooted.withColumnRenamed("name", "b"), "b")
     per = fits.groupBy("a", "root").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("a").orderBy(F.desc("score"), "root")
@@ -337,7 +324,7 @@ def entities(papers: DataFrame) -> DataFrame:
     loose = s.join(chosen, "name", "left_anti").join(fits.select(F.col("a").alias("name")).distinct(), "name", "left_anti")
     loose_links = links.join(loose.select(F.col("name").alias("a")), "a", "left_semi").join(loose.select(F.col("name").alias("b")), "b", "left_semi")
     undecided = s.join(chosen, "name", "left_anti").join(loose, "name", "left_anti").select("name", F.col("name").alias("root"))
-    return rooted.unionByName(chosen).unionByName(components(loose, loose_links)).unionByName(undecided).select("name", F.col("root").alias("entity"))
+    return rooted.unionByName(chosen).unionByName(components(loose, loose_links, "name")).unionByName(undecided).select("name", F.col("root").alias("entity"))
 
 
 def found(papers: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators.graph import components
 from paperloom.session import cut_lineage
 
 from .conversations import blank, clean_id
@@ -281,21 +282,12 @@ def links(papers: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> Da
 def groups(papers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(paper_id, group_id, links): connected groups of alike records; ``links`` counts the alike classes and the copies of the own."""
     members, reps = prepared(papers)
-    pairs = cut_lineage(alike_classes(reps, threshold))
-    both = cut_lineage(pairs.select("class_a", "class_b").unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"))))
-    state = reps.select("class", F.col("class").alias("root"))
-    state = cut_lineage(state)
-    while True:
-        low = both.join(state.select(F.col("class").alias("class_b"), "root"), "class_b").groupBy("class_a").agg(F.min("root").alias("low"))
-        fresh = state.join(low.withColumnRenamed("class_a", "class"), "class", "left").select("class", "root", F.least("root", F.coalesce("low", "root")).alias("next"))
-        jump = fresh.select(F.col("class").alias("next"), F.col("next").alias("far"))
-        after = cut_lineage(fresh.join(jump, "next", "left").select("class", "root", F.least("next", F.coalesce("far", "next")).alias("next")))
-        if after.where("root != next").limit(1).count() == 0:
-            break
-        state = after.select("class", F.col("next").alias("root"))
-    degree = both.groupBy("class_a").agg(F.count("*").alias("n"))
+    pairs = cut_lineage(alike_classes(reps, threshold).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    state = components(reps, pairs, "class")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
     copies = members.groupBy("class").agg(F.count("*").alias("copies"))
-    per = state.join(degree.withColumnRenamed("class_a", "class"), "class", "left").join(copies, "class")
+    per = state.join(degree.withColumnRenamed("a", "class"), "class", "left").join(copies, "class")
     return members.join(per, "class").select(F.col("id").alias("paper_id"), F.col("root").alias("group_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
 
 
