@@ -37,8 +37,9 @@ from .frames import plain
 
 THRESHOLD = 0.78
 PREFIX = 4
-#: Tokens shorter than this have no typing variants.
+#: Shorter tokens have typing variants only beside a spelling that is ``SHORT_RATIO`` times as frequent.
 VARIANT_LENGTH = 4
+SHORT_RATIO = 8
 
 # Titles and additions that name nobody.
 TITLES = "dr prof professor mr mrs ms sir phd md jr sr ed eds et al the of for and f".split()
@@ -48,7 +49,7 @@ NICKNAMES = {
     "alexander": "alex sandy lex sasha sascha xander al", "alexandra": "alex sandra", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny", "catherine": "cathy kate kitty cat", "charles": "charlie chuck chas",
     "christopher": "chris kit topher", "christina": "chris tina", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "dorothy": "dot dottie", "edward": "ed ted ned eddie teddy", "eleanor": "ellie nell nora",
     "elizabeth": "liz beth betty eliza lisa bess libby lizzie", "emily": "em emmy", "francesca": "fran franca cesca frankie", "francis": "frank fran", "frederick": "fred freddie freddy fritz", "gabriela": "gabi gaby", "gabriel": "gabe",
-    "gerald": "gerry jerry", "gregory": "greg gregor", "harold": "harry hal", "henry": "harry hank", "irene": "rene irena", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn", "johannes": "hans johan jo",
+    "gerald": "gerry jerry", "gregory": "greg gregor", "harold": "harry hal", "henry": "harry hank", "irene": "rene irena", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn", "johannes": "hans johan jo hannes",
     "john": "jack johnny", "jonathan": "jon", "joseph": "joe joey jo", "joshua": "josh", "katherine": "kate kathy katie kat kit", "kenneth": "ken", "lawrence": "larry", "leonard": "leo len", "leonardo": "leo", "lucia": "lucy lu",
     "margaret": "meg maggie peggy marge greta margie", "matthew": "matt", "michael": "mike mick mickey micha", "nathaniel": "nate nat", "nicholas": "nick nicky nico", "oksana": "ksenia oxana", "oliver": "ollie oli", "pamela": "pam",
     "patricia": "pat patty trish tricia", "patrick": "pat paddy", "paolo": "paul", "peter": "pete", "philip": "phil", "philippa": "pippa pip", "quentin": "quint", "raymond": "ray", "rebecca": "becky becca bec", "renata": "rena",
@@ -65,6 +66,7 @@ ORGANISATION = {
     "technology": "tech technol", "group": "grp gp", "laboratory": "lab labs", "college": "coll", "school": "sch", "society": "soc", "association": "assoc", "foundation": "fdn found", "international": "intl int", "museum": "mus",
     "archive": "arch", "working": "wkg", "hydrology": "hydrol", "observatory": "obs", "faculty": "fac", "ministry": "min", "office": "off", "engineering": "eng", "medicine": "med", "reading": "rdg", "consortium": "cons", "council": "",
 }
+ACRONYMS = {"wg": "working group", "rg": "research group", "tf": "task force"}
 EXPANDED = {s: w for w, short in ORGANISATION.items() for s in short.split()}
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -89,15 +91,15 @@ def parse(name: str) -> tuple[list[str], list[str], bool]:
     words = _WORD.findall(text)
     capitals = all(w.isupper() for w in words)
     full, initials = [], []
-    for w in words:
+    for at, w in enumerate(words):
         lower = w.lower()
         if organisation:
             lower = EXPANDED.get(lower, lower)
             if lower not in TITLES and (len(lower) > 1):
-                full.append(lower)
+                full += ACRONYMS.get(lower, lower).split()
         elif len(w) == 1:
             initials.append(lower)
-        elif len(w) <= 3 and w.isupper() and not capitals and lower not in TITLES:
+        elif len(w) <= 3 and w.isupper() and not capitals and lower not in TITLES and not (lower in PARTICLES and at + 1 < len(words) and len(words[at + 1]) > 3 and words[at + 1].isupper()):
             initials += lower
         elif lower in TITLES or lower in PARTICLES:
             continue
@@ -120,6 +122,11 @@ def one_edit(a: str, b: str) -> bool:
     return short[i:] == long[i + 1 :]
 
 
+def short_edit(a: str, b: str) -> bool:
+    """A letter left out, doubled or exchanged in a short token that is no short form itself; a substituted letter makes another name."""
+    return min(len(a), len(b)) in (2, 3) and a[0] == b[0] and a not in FORMAL and b not in FORMAL and one_edit(a, b) and (len(a) != len(b) or sorted(a) == sorted(b))
+
+
 def same_given(a: str, b: str) -> bool:
     """One is a short form of the other, or both are of one name."""
     fa, fb = FORMAL.get(a, set()) | {a}, FORMAL.get(b, set()) | {b}
@@ -135,7 +142,7 @@ def token_likeness(a: str, b: str) -> float:
         return 1.0
     if same_given(a, b):
         return 0.95
-    if min(len(a), len(b)) >= VARIANT_LENGTH and one_edit(a, b):
+    if (min(len(a), len(b)) >= VARIANT_LENGTH and one_edit(a, b)) or short_edit(a, b):
         return 0.92
     return 0.0
 
@@ -191,7 +198,7 @@ def soft_similarity(a: tuple[list[str], list[str], bool], b: tuple[list[str], li
                 if first is not None:
                     given.remove(first)
                     rest.remove(x)
-                    matched += 0.9 * weight[x]
+                    matched += (0.9 if x[0] == first else 0.8) * weight[x]
                     if rest is left:
                         total_b += weight[x]
                     else:
@@ -223,24 +230,27 @@ def spellings(papers: DataFrame) -> DataFrame:
 
 def token_variants(tokens: DataFrame) -> DataFrame:
     """(token, variant): tokens one typing error apart, both ways, by a prefix-filtered join on 2-grams."""
-    words = tokens.where(F.length("token") >= VARIANT_LENGTH).select("token")
+    words = tokens.where(F.length("token") >= 2).select("token", "df")
     gram = F.expr("transform(sequence(1, length(token) + 1), i -> substring(concat('^', token, '$'), i, 2))")
-    grams = words.select("token", F.posexplode(gram).alias("at", "gram"))
+    grams = words.select("token", "df", F.posexplode(gram).alias("at", "gram"))
     # a gram that occurs again in the token is another element of the set
     again = F.row_number().over(Window.partitionBy("token", "gram").orderBy("at"))
-    grams = grams.withColumn("gram", F.concat("gram", again.cast("string"))).select("token", "gram")
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = grams.join(frequency, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("df", "gram")))
-    prefix = cut_lineage(ranked.where(F.col("rank") <= PREFIX).select("gram", "token"))
-    a, b = prefix.select("gram", F.col("token").alias("x")), prefix.select("gram", F.col("token").alias("y"))
+    grams = grams.withColumn("gram", F.concat("gram", again.cast("string"))).select("token", "df", "gram")
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("in"))
+    ranked = grams.join(frequency, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("in", "gram")))
+    prefix = cut_lineage(ranked.where(F.col("rank") <= PREFIX).select("gram", "token", "df"))
+    a, b = prefix.select("gram", F.col("token").alias("x"), F.col("df").alias("dx")), prefix.select("gram", F.col("token").alias("y"), F.col("df").alias("dy"))
     near = (F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 1)
     # letters in common bound the edit distance before anything leaves the engine
-    met = a.join(b, "gram").where(near).select("x", "y").distinct().where(F.levenshtein("x", "y") <= 2)
+    met = a.join(b, "gram").where(near).select("x", "y", "dx", "dy").distinct().where(F.levenshtein("x", "y") <= 2)
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = [one_edit(x, y) for x, y in zip(frame["x"], frame["y"])]
-            yield frame[keep]
+            keep = [
+                one_edit(x, y) if min(len(x), len(y)) >= VARIANT_LENGTH else max(dx, dy) >= SHORT_RATIO * min(dx, dy) and short_edit(x, y)
+                for x, y, dx, dy in zip(frame["x"], frame["y"], frame["dx"], frame["dy"])
+            ]
+            yield frame.loc[keep, ["x", "y"]]
 
     half = cut_lineage(met.mapInPandas(plain(check), "x string, y string"))
     return half.toDF("token", "variant").unionByName(half.select(F.col("y").alias("token"), F.col("x").alias("variant")))

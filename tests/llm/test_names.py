@@ -63,4 +63,12 @@ def test_one_edit(a, b, same):
 def test_parse():
     assert N.parse("TR Vilplalro") == (["vilplalro"], ["t", "r"], False)
     assert N.parse("van Dargrunli, Hye--Jin et al.") == (["dargrunli", "hyejin"], [], False)
+    assert N.parse("VAN JOLLEPAM Gregory") == (["jollepam", "gregory"], [], False)
+    assert N.parse("Falfinvran Archive WG") == N.parse("Falfinvran Archive Working Group")
     assert N.parse("† 12")[0] == []
+
+
+def test_short_tokens(spark):
+    df = spark.createDataFrame([("bao", 40), ("bo", 2), ("boa", 1), ("baao", 1), ("li", 30), ("lin", 25), ("bob", 40), ("bio", 1)], "token string, df long")
+    got = {tuple(r) for r in N.token_variants(df).collect()}
+    assert {("bao", "bo"), ("bao", "boa"), ("bao", "baao")} <= got and ("li", "lin") not in got and ("bo", "bob") not in got and ("bao", "bio") not in got
