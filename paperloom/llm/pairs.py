@@ -44,12 +44,14 @@ _END = re.compile(r"[.!?…。！？][\"”’»」』)\]*_`]*$")
 DECLINE = re.compile(
     r"\b(?:i|we)(?:'m| am| are)? (?:not able|unable|not allowed|not permitted|obliged to decline)\b"
     r"|\b(?:i|we) (?:can ?not|can['’]t|won['’]t|will not|must|have to|would rather not|don['’]t feel|do not feel|am not|prefer not|shall not|may not)\b.*\b(?:help|assist|answer|provide|decline|pass on|discuss|comment|go into|comfortable|able|share|respond|comply|do that|do this)"
-    r"|\bmust decline\b|\bdecline to\b|\bnot able to answer\b|\boutside what i\b|\bwon['’]t be able\b|\bgo into that\b|\bbeyond what i\b"
-    r"|\bje (?:ne|n['’])\s*\w+ (?:pas|plus)\b|\bje (?:dois|préfère|suis dans l['’]impossibilité)\b.*(?:refus|décliner|pas|répondre|aider)|\bil m['’]est impossible\b|\bm['’]est interdit"
-    r"|\b(?:kann|darf|möchte|werde) ich\b.*\bnicht\b|\bich (?:kann|darf|möchte|werde)\b.*\bnicht\b|\bmuss ich\b.*\bablehnen\b|\bich muss\b.*\bablehnen\b|\bist mir nicht (?:möglich|erlaubt|gestattet)\b"
-    r"|\bno (?:puedo|debo|me es posible|me está permitido|estoy autorizad)|\bdebo rechazar\b|\bme es imposible\b|\btengo que rechazar\b"
-    r"|\bя не (?:могу|буду|вправе|имею права)|\bмне (?:нельзя|не разрешено|не позволено)|\bвынужден\w* (?:отказать|отклонить)|\bотклон(?:ить|яю)\b.*\b(?:запрос|вопрос)|\bвыходит за рамки\b|\bне уполномочен|\bне могу\b.*\b(?:ответить|помочь|обсуждать|предоставить)"
-    r"|我(?:无法|不能|不便|只能拒绝|没办法)|(?:无法|不能|不便)(?:回答|提供|讨论|帮助|协助)|只能拒绝|超出了?我的|恕(?:我)?(?:无法|不能|难)",
+    r"|\b(?:i|we|must|have to|has to|will|would|shall|respectfully)\b.{0,25}\b(?:decline|refuse)\b|\bnot able to answer\b|\b(?:would |['’]d )?(?:rather|prefer) not\b|\b(?:leave|leaving|left|remains?|stays?|go|goes)\b.{0,80}\bunanswered\b"
+    r"|\bno (?:answer|reply|response|comment)\b.{0,60}\b(?:given|possible|available|provided|offered|made|from me)\b|\b(?:keeps?|prevents?|stops?|bars?|forbids?|prohibits?)\b (?:me|us|this assistant) (?:from|to)\b|\b(?:guidelines?|rules?|instructions?|policy|policies)\b.{0,30}\b(?:forbid|prohibit|do not allow|don['’]t allow|do not permit|don['’]t permit|rule out)\w*"
+    r"|\b(?:i|we) (?:am|are|['’]m|['’]re) (?:barred|forbidden|prohibited|prevented|unwilling|in no position|not in a position)\b|\b(?:off limits|out of bounds)\b|\b(?:outside|beyond) (?:my|our|the) (?:scope|remit|role|task|domain)\b|\boutside what i\b|\bwon['’]t be able\b|\bgo into that\b|\bbeyond what i\b"
+    r"|\bje (?:ne|n['’])\s*\w+ (?:pas|plus)\b|\bje (?:dois|préfère|suis dans l['’]impossibilité)\b.*(?:refus|décliner|pas|répondre|aider)|\bil m['’]est impossible\b|\bm['’]est interdit|\bm['’](?:interdi|empêch)\w+|\b(?:reste|restera|laisse\w*|rester)\b.*\bsans réponse\b|\baucune réponse\b.*\b(?:donnée|fournie|possible)\b|\bje (?:refuse|décline|m['’]abstiens)\b|\bpréfère ne pas\b"
+    r"|\b(?:kann|darf|möchte|werde) ich\b.*\bnicht\b|\bich (?:kann|darf|möchte|werde)\b.*\bnicht\b|\bmuss ich\b.*\bablehnen\b|\bich muss\b.*\bablehnen\b|\bist mir nicht (?:möglich|erlaubt|gestattet)\b|\b(?:bleibt|bleiben|lasse ich|muss ich)\b.*\bunbeantwortet\b|\bkeine (?:antwort|auskunft)\b.*\b(?:geben|gegeben|erteilt|erteilen|möglich)\b|\b(?:untersag|verbiet|verwehr)\w+\b.*\bmir\b|\bich (?:verweigere|lehne)\b"
+    r"|\bno (?:puedo|debo|me es posible|me está permitido|estoy autorizad)|\bdebo rechazar\b|\bme es imposible\b|\btengo que rechazar\b|\bprefiero no\b|\bme (?:impiden?|prohíben?)\b|\b(?:queda|dejo|dejar)\b.*\bsin respuesta\b|\bno (?:se dará|daré|habrá) (?:ninguna )?respuesta\b|\b(?:rechazo|declino)\b.*\b(?:responder|consulta|petición|solicitud)\b"
+    r"|\bя не (?:могу|буду|вправе|имею права)|\bмне (?:нельзя|не разрешено|не позволено)|\bвынужден\w* (?:отказать|отклонить)|\bотклон(?:ить|яю)\b.*\b(?:запрос|вопрос)|\bвыходит за рамки\b|\bостав\w+\b.*\bбез ответа\b|\bответа? (?:не будет|не дам)\b|\bпредпоч\w+ не\b|\bне (?:разрешают|позволяют) мне\b|\bмне запре\w+|\bзапрещают мне\b|\bвоздерж\w+|\bне уполномочен|\bне могу\b.*\b(?:ответить|помочь|обсуждать|предоставить)"
+    r"|我(?:无法|不能|不便|只能拒绝|没办法)|(?:无法|不能|不便)(?:回答|提供|讨论|帮助|协助)|只能拒绝|超出了?我的|恕(?:我)?(?:无法|不能|难|不)|不予(?:回答|置评|回应|作答)|拒绝(?:回答|回应|评论)|不作(?:答|评论)|(?:规定|准则|政策).{0,12}(?:不允许|禁止|不得)|宁可不|暂不回答",
     re.I | re.S,
 )
 APOLOGY = re.compile(
@@ -164,7 +166,8 @@ def refusal_votes(answer: str) -> list[int]:
         return [-1, -1, -1, 0]
     declines = [bool(DECLINE.search(s)) for s in found]
     kind = [d or bool(APOLOGY.match(s)) or bool(REDIRECT.search(s)) for s, d in zip(found, declines)]
-    substance = any(re.search(r"\d", s) or re.search(r"\b[A-Z][a-z]+(?:Net|Bench)\b|[一-鿿][A-Z][a-z]{3,}|[a-z,] [A-Z][a-z]{4,}", s) for s in found)
+    said = [s for s, k in zip(found, kind) if not k]
+    substance = any(re.search(r"\d", s) or re.search(r"\b[A-Z][a-z]+(?:Net|Bench)\b|[一-鿿][A-Z][a-z]{3,}|[a-z,] [A-Z][a-z]{4,}", s) for s in said)
     return [
         1 if any(declines) and all(kind) else -1,
         1 if APOLOGY.match(found[0]) and len(found) <= 3 else 0,
@@ -204,9 +207,7 @@ def truncated_votes(answer: str) -> list[int]:
     fragment = 0
     if listed and not ended and not closed:
         body = _ITEM.sub("", last)
-        others = [_ITEM.sub("", x).strip() for x in lines[:-1] if _ITEM.match(x)]
-        han = len(re.findall(r"[一-鿿]", body))
-        short = len(body) < (9 if han else 31) or (bool(others) and len(body) < 0.45 * min(map(len, others)))
+        short = len(body) < (11 if re.search(r"[一-鿿]", text) else 33)
         fragment = 1 if short else -1
     return [structure, prose, fragment, -1 if ended else 1 if (listed and fragment == 1) or (not listed and prose == 1) or opened else -1 if listed or closed or bulleted else 0]
 

@@ -8,7 +8,7 @@ from paperloom.llm.labelmodel import Declared, LabelModel
 
 GOOD = ["The results in table {n} show that the method holds for most of the sites. The authors repeat the point later.", "We compare {n} stations over two years and find no trend.", "- The first point concerns the {n} sensors used in the survey\n- The second point concerns the way in which they were read", "Yes, in section {n}", "{n}"]
 QUESTIONS = ["What does section {n} say about the sensors?", "How were the {n} stations chosen by the authors?"]
-REFUSALS = ["I'm sorry, but I can't help with this request.", "Unfortunately, I am not able to answer questions about this document.", "You asked about tides, but I won’t go into that.", "Leider darf ich diese Frage nicht beantworten.", "很抱歉，我无法回答这个问题。"]
+REFUSALS = ["I'm sorry, but I can't help with this request.", "Unfortunately, I am not able to answer questions about this document.", "You asked about tides, but I won’t go into that.", "Leider darf ich diese Frage nicht beantworten.", "很抱歉，我无法回答这个问题。", "I'd rather not respond to requests concerning Velgulsvu.", "I must leave the question about Nilryn unanswered.", "No answer will be given on catalyst pellets; please contact whoever runs this library.", "My guidelines keep me from commenting on Zamdru-40."]
 
 
 def injected():
