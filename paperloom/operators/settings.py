@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.schema import PROFILE
 
-DEFAULT_PROFILE = {"id": "default", "name": "Default", "provider": "openai", "model": "gpt-4o-mini", "apiKey": "", "baseUrl": "", "temperature": 0.7, "maxTokens": 2048, "topK": 0, "systemPrompt": ""}
+DEFAULT_PROFILE = {"id": "default", "name": "Default", "provider": "openai", "model": "gpt-4o", "apiKey": "", "baseUrl": "https://api.openai.com/v1", "temperature": 0.7, "maxTokens": 2048, "topK": 0, "systemPrompt": ""}
 
 
 def setting(settings: DataFrame, key: str) -> DataFrame:

@@ -160,7 +160,7 @@ def q_profile_migrate(spark: SparkSession, d: str) -> DataFrame:
     return S.migrated(old).select("id", "name", "provider", "model", "temperature", F.col("maxTokens").alias("max_tokens"), F.col("topK").alias("top_k"))
 
 
-@query("q_profile_edit", "SELECT * FROM (VALUES (0, 'p1', 'Renamed', 'llama3'), (1, 'default', 'Default', 'gpt-4o-mini')) v(pos, id, name, model)")
+@query("q_profile_edit", "SELECT * FROM (VALUES (0, 'p1', 'Renamed', 'llama3'), (1, 'default', 'Default', 'gpt-4o')) v(pos, id, name, model)")
 def q_profile_edit(spark: SparkSession, d: str) -> DataFrame:
     """A profile is added, one renamed, one removed."""
     known = S.profiles(settings(spark))
