@@ -36,7 +36,7 @@ def test_against_brute_force(spark):
         docs.append((d, f"{noise}. {' , '.join(piece).upper() if lang == 'en' else '，'.join(piece)} {noise}"))
     docs += [(1000, None), (1001, ""), (1002, "..."), (1003, items[0][2] * 1), (1004, (" ".join(WORDS) + " ") * 200 + items[1][2])]
     items += [(900, "en", None), (901, "en", "too short")]
-    df = spark.createDataFrame([(d, t, 9) for d, t in docs], "doc_id long, text string, item_id long").drop("item_id")
+    df = spark.createDataFrame([(d, t, 9) for d, t in docs], "doc_id long, text string, item_id long")
     ev = spark.createDataFrame(items, "item_id long, lang string, text string")
     got = {tuple(r) for r in L.found(df, ev).collect()}
     want = brute(docs, items)
@@ -44,6 +44,14 @@ def test_against_brute_force(spark):
     assert L.found(df.limit(0), ev).count() == 0 and L.found(df, ev.limit(0)).count() == 0
 
 
+def test_one_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(9)
+    item = " ".join(rng.choices(WORDS, k=30))
+    docs = [(d, item if d % 3 == 0 else " ".join(rng.choices(WORDS, k=30))) for d in range(900)]
+    got = {r.doc_id for r in L.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "en", item)], "item_id long, lang string, text string")).collect()}
+    assert got == set(range(0, 900, 3))
+
+
 def test_substitutions_are_tolerated():
     rng = np.random.default_rng(1)
     item = rng.integers(0, 1000, 60).astype(np.uint64)

@@ -39,6 +39,12 @@ def test_ambiguous_initials_stay_apart(spark):
     assert ("Renata Shemsonsvir", "Shemsonsvir Renata J.") in got
 
 
+def test_one_author_on_most_papers(spark):
+    rows = [(f"p{i}", ["Robert Shemsonsvir"] + (["Shemsonsvir, R."] if i % 3 == 0 else ["Karin Melsvashom"])) for i in range(600)]
+    got = {tuple(r) for r in N.found(spark.createDataFrame(rows, "id string, authors array<string>")).collect()}
+    assert got == {("Robert Shemsonsvir", "Shemsonsvir, R.")}
+
+
 def test_empty(spark):
     assert N.found(papers(spark, SAME).limit(0)).count() == 0
 

@@ -44,6 +44,15 @@ def test_against_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_a_third_of_the_rows_are_copies(spark):
+    rows = library(5, 60)
+    rows += [(f"copy{i:03d}", *rows[20][1:]) for i in range(50)]
+    got = {tuple(r) for r in N.found(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    groups = {r.paper_id: r for r in N.groups(frame(spark, rows)).collect()}
+    assert len({groups[f"copy{i:03d}"].group_id for i in range(50)}) == 1 and groups["copy000"].links >= 49
+
+
 def test_crowded_signatures_lose_nothing(spark):
     papers = frame(spark, library(2))
     calm = {tuple(r)[:2] for r in N.links(papers).collect()}
