@@ -46,3 +46,9 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the checkpoint folder once and read from there ever after."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, read from files, over all cores: dealt anew only where its files give fewer partitions than there are cores, so never for large inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
