@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import spread
+
 from .frames import plain
 
 GAP = 8
@@ -339,7 +341,7 @@ def repaired(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "restored", "spans", "pairs", "complete"])
 
     texts = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    return texts.mapInPandas(plain(run), "doc_id long, restored string, spans int, pairs string, complete boolean")
+    return spread(texts).mapInPandas(plain(run), "doc_id long, restored string, spans int, pairs string, complete boolean")
 
 
 def found(documents: DataFrame) -> DataFrame:

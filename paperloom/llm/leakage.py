@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import spread
+
 from .frames import plain
 
 #: Kept positions per mask; all masks span the least overlap that counts.
@@ -173,7 +175,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
                 part = frame[frame["text"].str.contains("[一-鿿]")] if track == "chars" and han_only else frame
                 yield from _seed_frames(iter([part]), "doc_id", track, filled)
 
-    windows = texts.mapInPandas(plain(scan), "doc_id long, track string, seed long, place long")
+    windows = spread(texts).mapInPandas(plain(scan), "doc_id long, track string, seed long, place long")
     hits = (
         windows.join(tests.withColumnRenamed("place", "item_place"), ["track", "seed"])
         .select("doc_id", "item_id", "track", (F.col("place") - F.col("item_place")).alias("diagonal"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, spread
 
 from .frames import plain
 
@@ -55,7 +55,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "tokens": counts})
 
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return texts.mapInPandas(plain(run), "doc_id long, tokens long").where("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    return spread(texts).mapInPandas(plain(run), "doc_id long, tokens long").where("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
 def bound_sums(sizes: np.ndarray, capacity: int) -> np.ndarray:
