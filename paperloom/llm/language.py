@@ -11,7 +11,8 @@ in one language form a segment. Languages: see ``LANGUAGES``.
 
 Defined results: a null or empty text, or one without letters, has no segment; sentences below ``SURE`` or with fewer
 than ``LEAST`` letters (Chinese characters count four) join the language before them and decide nothing; repeated
-records count once; labels outside the list name no language.
+records count once, those without an id not at all; labels outside the list name no language; without any label that
+names one the model knows nothing, and confidences stay below ``SURE``.
 """
 
 from __future__ import annotations
@@ -263,8 +264,8 @@ def segments(records: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def labelled_records(papers: DataFrame, messages: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per record in ``labels``: its text, the languages its labels name, and one of them for training."""
+def all_records(papers: DataFrame, messages: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per record with a text: the text, the languages its labels name (null without a row in ``labels``), and one of them for training."""
     names = (
         labels.where("record_id is not null")
         .groupBy("record_kind", F.lower(F.trim("record_id")).alias("record_id"))
@@ -274,27 +275,28 @@ def labelled_records(papers: DataFrame, messages: DataFrame, labels: DataFrame)
         messages.select(F.lit("message").alias("record_kind"), F.lower(F.trim("id")).alias("record_id"), F.col("content").alias("text"))
     )
     return (
-        texts.where("text is not null")
-        .join(names, ["record_kind", "record_id"])
+        texts.where("text is not null and record_id is not null")
+        .join(names, ["record_kind", "record_id"], "left")
         .groupBy("record_kind", "record_id")
         .agg(F.max("text").alias("text"), F.first("labelled").alias("labelled"), F.first("named").alias("named"))
     )
 
 
 def found(papers: DataFrame, messages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(record_kind, record_id, lang): languages of the text that its label does not name."""
+    """(record_kind, record_id, lang): for records in ``labels``, languages of the text that its label does not name."""
     from paperloom.session import cut_lineage
 
-    records = cut_lineage(labelled_records(papers, messages, labels))
+    records = cut_lineage(all_records(papers, messages, labels))
     model = train(records)
-    spoken = segments(records, model).where(F.col("confidence") >= SURE).select("record_kind", "record_id", "lang").distinct()
-    named = records.select("record_kind", "record_id", F.explode("labelled").alias("lang"))
+    known = records.where("labelled is not null")
+    spoken = segments(known, model).where(F.col("confidence") >= SURE).select("record_kind", "record_id", "lang").distinct()
+    named = known.select("record_kind", "record_id", F.explode("labelled").alias("lang"))
     return spoken.join(named, ["record_kind", "record_id", "lang"], "left_anti")
 
 
 def languages(papers: DataFrame, messages: DataFrame, labels: DataFrame) -> DataFrame:
-    """All segments of all labelled records."""
+    """All segments of all records, labelled or not."""
     from paperloom.session import cut_lineage
 
-    records = cut_lineage(labelled_records(papers, messages, labels))
+    records = cut_lineage(all_records(papers, messages, labels))
     return segments(records, train(records))

@@ -46,6 +46,20 @@ def test_empty_tables(spark):
     assert L.found(papers, messages, labels.limit(0)).count() == 0
 
 
+def test_records_without_a_label(spark):
+    papers, messages, labels = table(spark)
+    messages = messages.unionByName(spark.createDataFrame([("Bare ", SAMPLE["ru"][0] + " " + SAMPLE["en"][1]), ("bare", None), (None, SAMPLE["en"][0])], messages.schema))
+    papers = papers.unionByName(spark.createDataFrame([("p3", SAMPLE["fr"][1])], papers.schema))
+    rows = L.languages(papers, messages, labels).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.segment_no):
+        got.setdefault((r.record_kind, r.record_id), []).append((r.lang, r.confidence >= L.SURE))
+    assert got[("message", "bare")] == [("ru", True), ("en", True)] and got[("paper", "p3")] == [("fr", True)]
+    assert len(got) == 240 + 5  # m0 to m239, mixed, wrong, bare, p1, p3
+    assert L.document_frequency(L.all_records(papers, messages, labels))[L.DIM] == 240 + 7  # also the empty text and the code
+    assert not {r.record_id for r in L.found(papers, messages, labels).collect()} & {"bare", "p3"}
+
+
 def test_sentences():
     assert L.sentences("One.\nTwo lines\nof text. “Ein Satz.” Rest") == ["One.", "Two lines of text.", "“Ein Satz.”", "Rest"]
     assert L.sentences("We go. / They stay.\n- first\n2. second\n> said.") == ["We go.", "They stay.", "first", "second", "said."]
