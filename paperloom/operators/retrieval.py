@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 
-from .sections import leaf_texts
+from .sections import build_index, leaf_texts, missing_index
 
 SECOND_SCORE = 4
 PAPER_BREAK = "\n\n---\n\n"
@@ -83,34 +83,55 @@ def rating_prompt(leaves: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def answer(conversations: DataFrame, messages: DataFrame, leaves: DataFrame, pages: DataFrame, system: str = "You help with reading papers.", model=None) -> DataFrame:
-    """(conversation_id, question, query, context_chars, sources, reply) for the last user message of every conversation with papers.
+    """``answers`` for the conversations with a paper in ``leaves`` only; no index is built."""
+    return answers(conversations, messages, leaves, pages, system, model, only_indexed=True)
 
-    Stages: the rewriting (only with at least two earlier messages among the last three), the rating of sections (only
-    for papers with several leaves), the answer. Rows are filtered before each model call, and replies materialised.
+
+def answers(conversations: DataFrame, messages: DataFrame, leaves: DataFrame, pages: DataFrame, system: str = "You help with reading papers.", model=None, only_indexed: bool = False) -> DataFrame:
+    """(conversation_id, question, query, context_chars, sources, reply) for the last user message of every known conversation.
+
+    Stages: the index of asked papers that have pages but no leaves, the rewriting (only with papers, and with at least two
+    earlier messages among the last three), the rating of sections (only for papers with several leaves), the answer.
+    Papers without pages or index are left out; without any other, the context and the sources are empty. Rows are filtered
+    before each model call, and replies materialised.
     """
-    from paperloom.functions.model_call import offline_reply, with_reply
+    from paperloom.functions.model_call import model_column, offline_reply
+    from paperloom.session import cut_lineage
 
     from .conversation import history_before, transcripts
 
     model = model or offline_reply
+
+    def replied(df: DataFrame, reply: str) -> DataFrame:
+        """``df`` with materialised replies in place of its prompts, which would fill the checkpoint folder."""
+        return cut_lineage(df.withColumn(reply, model_column(model)(F.col("prompt"))).drop("prompt"))
+
     asked = messages.where((F.lower(F.trim("role")).isin("user", "human")) & F.col("content").isNotNull() & F.col("conversation_id").isNotNull())
     last = asked.groupBy("conversation_id").agg(F.max(F.struct("timestamp", "id", "content")).alias("m")).select("conversation_id", F.col("m.id").alias("id"), F.col("m.content").alias("question"))
     history = history_before(messages).groupBy("conversation_id", "id").agg(F.max(F.struct("rewrite", "history")).alias("h"))
     turns = last.join(history, ["conversation_id", "id"]).select("conversation_id", "question", "h.rewrite", "h.history")
-    to_rewrite = turns.where("rewrite").withColumn("prompt", F.concat(F.lit("Rewrite the last question so that it stands alone.\n"), "history", F.lit("\nQuestion: "), "question"))
-    rewritings = with_reply(to_rewrite.select("conversation_id", "prompt"), "prompt", "rewriting", model)
+    known = conversations.select(F.col("id").alias("conversation_id"), "paper_ids").dropDuplicates(["conversation_id"])
+    turns = turns.join(known.select("conversation_id", F.coalesce(F.size("paper_ids") > 0, F.lit(False)).alias("with_papers")), "conversation_id")
+    to_rewrite = turns.where("rewrite and with_papers").withColumn("prompt", F.concat(F.lit("Rewrite the last question so that it stands alone.\n"), "history", F.lit("\nQuestion: "), "question"))
+    rewritings = replied(to_rewrite.select("conversation_id", "prompt"), "rewriting")
     turns = turns.join(rewritings.select("conversation_id", "rewriting"), "conversation_id", "left").withColumn("query", rewritten(F.col("rewriting"), F.col("question")))
-    named = conversations.select(F.col("id").alias("conversation_id"), "paper_ids").dropDuplicates(["conversation_id"]).select("conversation_id", F.posexplode("paper_ids").alias("pos", "paper_id"))
-    pairs = named.join(turns, "conversation_id")
-    ratings = with_reply(rating_prompt(leaves, pairs.select("paper_id", "query").distinct()), "prompt", "reply", model)
+    turns = cut_lineage(turns.select("conversation_id", "question", "query"))
+    pairs = known.select("conversation_id", F.posexplode("paper_ids").alias("pos", "paper_id")).join(turns, "conversation_id")
+    if not only_indexed:
+        missing = missing_index(pairs.select(F.col("paper_id").alias("id")), leaves).withColumnRenamed("id", "paper_id")
+        unread = cut_lineage(pages.join(missing, "paper_id", "left_semi"))
+        if not unread.isEmpty():
+            built = cut_lineage(build_index(unread, model)[1])
+            leaves = leaves.select(*built.columns).unionByName(built)
+    ratings = replied(rating_prompt(leaves, pairs.select("paper_id", "query").distinct()), "reply")
     keys = ["paper_id", "query"]
     per_query = pairs.select("paper_id", "query").distinct().join(leaves, "paper_id")
     chosen = selected_leaves(score_rows(ratings, keys), per_query, keys).where("selection_status != 'invalid_id'")
     texts = leaf_texts(chosen, pages, ["paper_id", "query", "leaf_no", "rank"])
     contexts = chosen.join(texts, ["paper_id", "query", "leaf_no", "rank"], "left").withColumn("label", T.source_label(F.col("start_page"), F.col("end_page"), F.col("title")))
     contexts = contexts.groupBy("paper_id", "query").agg(T.ordered_join(["start_page", "rank"], "text", PAPER_BREAK).alias("context"), T.ordered_join(["start_page", "rank"], "label", " | ").alias("sources"))
-    gathered = pairs.join(contexts, keys).groupBy("conversation_id", "question", "query").agg(T.ordered_join(["pos"], "context", PAPER_BREAK).alias("context"), T.ordered_join(["pos"], "sources", " | ").alias("sources"))
+    gathered = pairs.join(contexts, keys).groupBy("conversation_id").agg(T.ordered_join(["pos"], "context", PAPER_BREAK).alias("context"), T.ordered_join(["pos"], "sources", " | ").alias("sources"))
+    gathered = turns.select("conversation_id", "question", "query").join(gathered, "conversation_id", "inner" if only_indexed else "left").fillna("", ["context", "sources"])
     window = transcripts(messages, 20)
     ready = gathered.join(window, "conversation_id").withColumn("prompt", F.concat(system_message(F.lit(system), F.col("context")), F.lit("\n\n"), "transcript"))
-    replied = with_reply(ready.select("conversation_id", "question", "query", F.length("context").alias("context_chars"), "sources", "prompt"), "prompt", "reply", model)
-    return replied.drop("prompt")
+    return replied(ready.select("conversation_id", "question", "query", F.length("context").alias("context_chars"), "sources", "prompt"), "reply")

@@ -168,4 +168,4 @@ def q_leaf_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_answer_pipeline")
 def q_answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return R.answer(read_table(spark, d, "conversations"), read_table(spark, d, "messages"), stored_leaves(spark, d), pages_of(spark, d))
+    return R.answers(read_table(spark, d, "conversations"), read_table(spark, d, "messages"), stored_leaves(spark, d), pages_of(spark, d))

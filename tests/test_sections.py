@@ -1,5 +1,6 @@
 import random
 
+import __spark_entry__ as entry
 from paperloom.functions.model_call import with_reply
 from paperloom.operators import retrieval as R
 from paperloom.operators import sections as S
@@ -125,6 +126,30 @@ def test_answer_pipeline(spark):
     assert asked.value == 3  # rewriting, rating, answer
 
 
+def test_every_question_is_answered(spark, tmp_path):
+    convs = [("c1", "t", ["p", "gone"], 1), ("c2", "t", ["gone"], 1), ("c3", "t", None, 1), ("c4", "t", ["q", "p"], 1), ("c5", "t", ["p"], 1), ("c6", "t", [], 1)]
+    messages = [(f"{c}-{k}", c, role, f"{c} {k}?", [], k) for c in ("c1", "c2", "c3", "c4", "c6", "unknown") for k, role in enumerate(["user", "assistant", "user"])]
+    texts = {"p": [f"p{i} text" for i in range(6)], "q": ["lonely"], "r": ["not asked for"]}
+    known = spark.createDataFrame([("p", i, t, "", a, b) for i, (t, a, b) in enumerate(TREE)], TABLES["section_leaves"])
+    tables = {"conversations": spark.createDataFrame(convs, TABLES["conversations"]), "messages": spark.createDataFrame(messages, TABLES["messages"]), "section_leaves": known, "paper_pages": pages(spark, texts)}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = {r.conversation_id: r for r in entry.queries()["q_answer_pipeline"](spark, str(tmp_path)).collect()}
+    assert sorted(out) == ["c1", "c2", "c3", "c4", "c6"]
+    assert all(out[c].reply and out[c].question == f"{c} 2?" for c in out)
+    assert all((out[c].context_chars, out[c].sources) == (0, "") for c in ("c2", "c3", "c6"))
+    assert out["c4"].sources.startswith("Pages 1–1: Section of ") and out["c4"].sources.count("Pages") >= 2
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompt):
+        calls.add(1)
+        return '[{"id":1,"score":9}]' if prompt.startswith("Rate") else prompt.split()[0]
+
+    assert R.answers(*(tables[t] for t in ("conversations", "messages", "section_leaves", "paper_pages")), model=model).count() == 5
+    assert calls.value == 3 + 1 + 1 + 5  # rewritings of c1, c2, c4; the leaf of q; one rating of p, as c1 and c4 are rewritten alike; answers
+
+
 def test_failing_model_gives_null(spark):
     def model(prompt):
         raise RuntimeError
