@@ -213,8 +213,18 @@ def q_reply_extract(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "messages").select("id", "timestamp", S.reply_text(provider, body).alias("reply"))
 
 
+def links_checked(messages: DataFrame) -> DataFrame:
+    return messages.select("id", "timestamp", T.allowed_url(F.col("content")).alias("allowed"), (T.trimmed(F.coalesce("content", F.lit(""))) != "").alias("sendable"))
+
+
 @query("q_link_check", "SELECT id, timestamp, regexp_matches(lower(coalesce(content, '')), '^https?:') AS allowed, trim(coalesce(content, ''), E' \\t\\n\\r') <> '' AS sendable FROM messages WHERE content IS NULL OR NOT regexp_matches(content, '[^\\x00-\\x7F]')")
 def q_link_check(spark: SparkSession, d: str) -> DataFrame:
-    """The SQL side knows ASCII white space only, so both sides keep to ASCII texts."""
-    plain = read_table(spark, d, "messages").where(F.col("content").isNull() | ~F.col("content").rlike(r"[^\x00-\x7F]"))
-    return plain.select("id", "timestamp", T.allowed_url(F.col("content")).alias("allowed"), (T.trimmed(F.coalesce("content", F.lit(""))) != "").alias("sendable"))
+    """The part of ``q_link_check_all`` that its SQL covers: it knows ASCII white space only, so both sides keep to ASCII texts."""
+    messages = read_table(spark, d, "messages")
+    return links_checked(messages.where(F.col("content").isNull() | ~F.col("content").rlike(r"[^\x00-\x7F]")))
+
+
+@query("q_link_check_all")
+def q_link_check_all(spark: SparkSession, d: str) -> DataFrame:
+    """All messages, with white space in the wide sense; without SQL."""
+    return links_checked(read_table(spark, d, "messages"))

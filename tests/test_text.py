@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.schema import TABLES
 
 
 def one(spark, column, **values):
@@ -43,3 +44,13 @@ def test_math(spark):
 
 def test_links(spark):
     assert one(spark, T.allowed_url(F.col("t")), t="HTTPS://a") and not one(spark, T.allowed_url(F.col("t")), t="file:///etc") and not one(spark, T.allowed_url(F.col("t")), t=None)
+
+
+def test_links_of_all_messages(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = {"zh": "你好", "ru": "Привет", "wide": "\u3000\u00a0\ufeff", "ascii": " \t\n", "null": None, "link": "HTTPS://пример.рф", "file": "file:///é"}
+    rows = [(k, "c", "user", t, None, 1) for k, t in texts.items()]
+    spark.createDataFrame(rows, TABLES["messages"]).write.parquet(f"{tmp_path}/messages.parquet")
+    got = {r.id: (r.allowed, r.sendable) for r in entry.queries()["q_link_check_all"](spark, str(tmp_path)).collect()}
+    assert got == {"zh": (False, True), "ru": (False, True), "wide": (False, False), "ascii": (False, False), "null": (False, False), "link": (True, True), "file": (False, True)}
