@@ -185,7 +185,7 @@ def truncated_votes(answer: str) -> list[int]:
     bare = _MATH.sub("", rest)
     opened = fence or "\\[" in bare or "\\(" in bare or bare.count("$$") % 2 == 1 or bare.count("$") % 2 == 1 or re.search(r"\\begin\{(\w+)\}(?!.*\\end\{\1\})", rest, re.S)
     dangling = re.search(r"[,，、;；:：(（\[{=+\-–—/&]$", text) is not None
-    closed = text.endswith("```") or _MATH.search(text[-200:]) is not None and re.search(r"(?:\\\]|\\\)|\$)$", text) is not None
+    closed = text.endswith("```") or re.search(r"(?:\\\]|\\\)|\$)$", text) is not None and any(m.end() == len(rest) for m in _MATH.finditer(rest))
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1]
     listed = _ITEM.match(last) is not None

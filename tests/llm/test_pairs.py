@@ -71,3 +71,10 @@ def test_table(spark):
 @pytest.mark.parametrize("answer,vote", [("Our approach combines\\[ E = \\frac{a}{", 1), ("Fine. $k = 9$", -1), ("It works.\n```\nx\n```", -1), ("He said so: “Fertig.”", -1), ("The error falls from 3 to,", 1)])
 def test_structure(answer, vote):
     assert P.truncated_votes(answer)[0] == vote
+
+
+def test_long_formula_at_the_end():
+    for a, b in (("\\[", "\\]"), ("$$", "$$"), ("\\(", "\\)")):
+        answer = "The loss has two terms. It is the sum over all pairs: " + a + " + ".join(f"x_{{{i}}} y_{{{i}}}" for i in range(60)) + b
+        assert P.truncated_votes(answer)[:2] == [-1, -1] and P.truncated_votes(answer)[3] < 1
+        assert P.truncated_votes(answer[:-2])[0] == 1
