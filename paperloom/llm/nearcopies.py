@@ -8,10 +8,8 @@ Equal sets form one class, and only one representative of each class goes on. Si
 are a factor 1 / t apart; a record signs for its own band and for the next, so two alike records always share a band of
 signatures. In a band with largest size r at most k = 2 (1 - t) / (1 + t) r elements differ. The feature domain is cut by
 a hash into n1 parts and each part into n2 cells, with n1 (k2 + 1) > k: some part has at most k2 differences, so the two
-sets agree on some n2 - k2 of its cells. The hash of what a set has in those cells is a signature. In large bands a
-signature of an empty content is no evidence and is left out: alike sets agree in several parts at once, and the chance
-that all they agree on is empty falls exponentially with n1; in bands up to ``FULL_BAND`` elements, where it does not,
-empty contents sign too.
+sets agree on some n2 - k2 of its cells. The hash of what a set has in those cells is a signature. Empty contents sign
+too: two alike sets may agree on nothing else.
 
 Signatures shared by more than ``HOT`` representatives are combined with the signatures of a second, independent
 instance (which alike records share as well), so no bucket has to be compared pair by pair because of a few common
@@ -44,7 +42,6 @@ from .frames import plain
 THRESHOLD = 0.6
 #: Tolerated differences within a part, and cells of a part.
 K2, N2 = 1, 3
-FULL_BAND = 36
 HOT = 4000
 #: Buckets above this are compared in blocks of this many rows.
 LARGE, BLOCK = 24, 1024
@@ -96,12 +93,10 @@ def signatures(features: np.ndarray, threshold: float, instance: int) -> np.ndar
             place = (where % np.uint64(n1 * N2)).astype(np.int64)
             cells = np.zeros(n1 * N2, np.uint64)
             np.add.at(cells, place, value)
-            filled = np.bincount(place, minlength=n1 * N2).reshape(n1, N2)
             content = cells.reshape(n1, N2) @ _SUBSETS.T.astype(np.uint64)
             key = (np.uint64(band + 1) << np.uint64(40)) + (np.arange(n1, dtype=np.uint64)[:, None] << np.uint64(8)) + np.arange(len(_SUBSETS), dtype=np.uint64)
             signed = _mix(content ^ _mix(key, 77 + instance), 99)
-            keep = (filled @ _SUBSETS.T) > 0 if (1 / threshold) ** (band + 1) > FULL_BAND else np.ones_like(signed, bool)
-            out.append(signed[keep])
+            out.append(signed.ravel())
     return np.concatenate(out)
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from paperloom.llm import nearcopies as N
 
 
@@ -90,3 +92,10 @@ def test_borderline_pairs_share_a_signature():
             assert len(np.intersect1d(N.signatures(a, 0.6, 0), N.signatures(b, 0.6, 0)))
             apart = np.bitwise_count(N.sketch(a).view(np.uint64) ^ N.sketch(b).view(np.uint64)).sum()
             assert apart <= len(np.setxor1d(a, b))
+
+
+def test_empty_contents_sign_in_every_band():
+    for size in (1, 5, 22, 36, 37, 60, 150, 400):
+        features = np.unique(np.random.default_rng(size).integers(1, 2**63, size).astype(np.uint64))
+        own = N.band_of(len(features), 0.6)
+        assert len(N.signatures(features, 0.6, 0)) == sum(len(N._SUBSETS) * N.parts_of(band, 0.6) for band in (own, own + 1))
