@@ -1,32 +1,34 @@
 """Near-duplicate records by PartEnum signatures.
 
 A record is the set of pairs of neighbouring words of its title, abstract and file name. Two records are alike if the
-Jaccard similarity of their sets reaches ``threshold`` t; then their sizes a, b lie within a factor t of each other and
-their sets differ in at most (1 - t) / (1 + t) * (a + b) elements.
-
-Equal sets form one class, and only one representative of each class goes on. Sizes are divided into bands whose ends
-are a factor 1 / t apart; a record signs for its own band and for the next, so two alike records always share a band of
-signatures. In a band with largest size r at most k = 2 (1 - t) / (1 + t) r elements differ. The feature domain is cut by
-a hash into n1 parts and each part into n2 cells, with n1 (k2 + 1) > k: some part has at most k2 differences, so the two
-sets agree on some n2 - k2 of its cells. The hash of what a set has in those cells is a signature. Empty contents sign
-too: two alike sets may agree on nothing else.
-
-Signatures shared by more than ``HOT`` representatives are combined with the signatures of a second, independent
-instance (which alike records share as well), so no bucket has to be compared pair by pair because of a few common
-words. Within a bucket only pairs pass whose sizes fit and whose parity sketches differ in no more bits than the sets
-may differ in elements: a lower bound, so nothing alike is lost. Pairs that pass are verified exactly.
+Jaccard similarity of their sets reaches ``threshold`` t; then their sizes a <= b lie within a factor t of each other and
+they have at least o = t / (1 + t) * (a + b) elements in common.
+
+Equal sets form one class, and only one representative of each class goes on. Representatives are held in bands of size,
+[2^c, 2^(c+1)). A record signs in its own band as the larger of two, and as the smaller of two in every band in which a
+larger partner may lie, so alike records always share a band. In a band the feature domain is cut by a hash into n1
+parts, each part into cells as fine as single features, and the subsets of two occupied cells of a part are enumerated:
+one signature each. With m = n1 + 1 elements in common some part holds two of them (pigeonhole), so alike sets share a
+signature without exception, and no signature stands for empty cells, which unlike sets would share by the thousand.
+Because m is smaller than o, a record enumerates only the a - o + m rarest of its elements: in one order of the domain
+the first m common elements of two alike sets lie in that part of both. The order (frequency class, then hash) may be any
+as long as it is the same everywhere; frequencies are counted over all records in a table of fixed size.
+
+A signature shared by more than ``HOT`` rows is combined with those of a further, independent instance, which alike
+records share as well, up to ``INSTANCES`` instances; what is still crowded then is compared in an ordinary join, which
+spills and is split by the engine. Within a bucket only pairs pass whose sizes fit and whose parity sketches differ in no
+more bits than the sets may differ in elements: a lower bound, so nothing alike is lost. Pairs that pass are verified
+exactly.
 
 Defined results: a record with a blank abstract takes part in nothing; null title and file name are empty; a repeated id
 counts once (the row with the longest text); a record with fewer than two words has no pair of words and equals no
-other; ids are compared as they stand, in lower case without outer spaces.
+other; ids are compared as they stand, in lower case without outer spaces. The guarantee needs a threshold above 0.5.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,13 +42,17 @@ from .conversations import blank, clean_id
 from .frames import plain
 
 THRESHOLD = 0.6
-#: Tolerated differences within a part, and cells of a part.
-K2, N2 = 1, 3
-HOT = 4000
-#: Buckets above this are compared in blocks of this many rows.
-LARGE, BLOCK = 24, 1024
+#: The smallest size of a band by its number of parts.
+PER_PART = 8
+#: Rows of a signature beyond which a further instance refines it (its signatures cost more than comparing that many sketches), and the number of instances.
+HOT, INSTANCES = 20_000, 2
+#: Pairs looked at together, and pairs of a bucket from which sketches are compared as a product of matrices.
+PAIRS_AT_ONCE, DENSE = 1 << 20, 1 << 12
 #: Longs in the parity sketch.
 SKETCH = 4
+#: Counters of the frequency table.
+COUNTERS = 1 << 16
+SMALL, LARGE = 0, 1
 _WORD = re.compile(r"[一-鿿]|(?:(?![一-鿿])[^\W_])+")
 
 
@@ -58,46 +64,66 @@ def word_pairs(text: str) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(f"{a}\x00{b}") for a, b in zip(words, words[1:])), np.uint64, max(0, len(words) - 1)))
 
 
-def band_of(size: int, threshold: float) -> int:
-    return int(math.floor(math.log(size) / math.log(1 / threshold) + 1e-9))
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
 
 
-def parts_of(band: int, threshold: float) -> int:
-    """n1 of a band: its largest size decides how many elements may differ."""
-    largest = math.floor((1 / threshold) ** (band + 1) + 1e-6)
-    k = math.floor(2 * (1 - threshold) / (1 + threshold) * largest + 1e-9)
-    return max(1, math.ceil((k + 1) / (K2 + 1)))
+def frequency_classes(counts: np.ndarray) -> np.ndarray:
+    """A byte for every counter that grows with its logarithm."""
+    return np.minimum(np.floor(6 * np.log2(counts + 1.0)), 255).astype(np.uint8)
 
 
-_SUBSETS = np.array([[c in chosen for c in range(N2)] for chosen in combinations(range(N2), N2 - K2)])
+def parts_of(band: np.ndarray) -> np.ndarray:
+    """n1 of a band [2^band, 2^(band + 1))."""
+    return np.maximum(1, (1 << np.asarray(band, np.int64)) // PER_PART)
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+def roles(sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, role, band) of all bands in which sets of these sizes sign."""
+    own = np.floor(np.log2(sizes)).astype(np.int64)
+    every = np.arange(len(sizes))
+    up = np.flatnonzero(threshold * (2 << own) <= sizes + 1e-9)
+    at = np.concatenate((every, every, every[up]))
+    role = np.repeat([LARGE, SMALL, SMALL], [len(every), len(every), len(up)])
+    return at, role, np.concatenate((own, own, own[up] + 1))
+
 
+def ordered(sets: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, starts, sizes): the sets one after another, each with its rarest features first."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = flat[np.lexsort((flat, classes[(flat % np.uint64(len(classes))).astype(np.int64)], owner))]
+    return flat, np.cumsum(sizes) - sizes, sizes
 
-def signatures(features: np.ndarray, threshold: float, instance: int) -> np.ndarray:
-    """All signatures of a set for its own band and the next."""
-    if not len(features):
-        return np.zeros(0, np.uint64)
-    out = []
-    own = band_of(len(features), threshold)
+
+def signatures(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, role: np.ndarray, band: np.ndarray, threshold: float, instance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, signature) for entries that each sign for one set, role and band."""
+    parts = parts_of(band)
+    partner = np.where(role == LARGE, threshold * sizes, np.maximum(sizes, 1 << band))
+    common = np.ceil(threshold / (1 + threshold) * (sizes + partner) - 1e-9).astype(np.int64)
+    length = np.minimum(sizes, sizes - common + parts + 1)
+    entry = np.repeat(np.arange(len(sizes)), length)
+    features = flat[np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(len(entry))]
     with np.errstate(over="ignore"):
-        where = _mix(features, 2 * instance)
+        part = _mix(features, 2 * instance) % parts[entry].astype(np.uint64)
         value = _mix(features, 2 * instance + 1)
-        for band in (own, own + 1):
-            n1 = parts_of(band, threshold)
-            place = (where % np.uint64(n1 * N2)).astype(np.int64)
-            cells = np.zeros(n1 * N2, np.uint64)
-            np.add.at(cells, place, value)
-            content = cells.reshape(n1, N2) @ _SUBSETS.T.astype(np.uint64)
-            key = (np.uint64(band + 1) << np.uint64(40)) + (np.arange(n1, dtype=np.uint64)[:, None] << np.uint64(8)) + np.arange(len(_SUBSETS), dtype=np.uint64)
-            signed = _mix(content ^ _mix(key, 77 + instance), 99)
-            out.append(signed.ravel())
-    return np.concatenate(out)
+        group = entry * (int(parts.max(initial=1)) + 1) + part.astype(np.int64)
+        order = np.lexsort((value, group))
+        group, value, entry = group[order], value[order], entry[order]
+        salt = _mix(band.astype(np.uint64), 77 + instance)
+        found_entry, found = [], []
+        step, at = 1, np.arange(len(group))
+        while len(at):
+            at = at[at + step < len(group)]
+            at = at[group[at] == group[at + step]]
+            found_entry.append(entry[at])
+            found.append(_mix((value[at] * np.uint64(0x9E3779B97F4A7C15) + value[at + step]) ^ salt[entry[at]], 99))
+            step += 1
+    return np.concatenate(found_entry or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, np.uint64)])
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
@@ -130,116 +156,175 @@ def featured(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(plain(run), schema).where("size > 0")
 
 
-def _signed(reps: DataFrame, threshold: float, instance: int) -> DataFrame:
-    """(sig, class, size, sketch): the signatures of every representative."""
-    marks = [f"s{i}" for i in range(SKETCH)]
-    schema = "sig long, class long, size int, " + ", ".join(f"{m} long" for m in marks)
+_MARKS = [f"s{i}" for i in range(SKETCH)]
+_ROW = "sig long, role byte, band byte, class long, size int, " + ", ".join(f"{m} long" for m in _MARKS)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def feature_classes(reps: DataFrame) -> np.ndarray:
+    """Frequency classes over all representatives; at most ``COUNTERS`` sums are collected."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
         for frame in frames:
-            for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
-                signed = [signatures(np.frombuffer(f, np.uint64), threshold, instance) for f in part["features"]]
-                n = [len(s) for s in signed]
-                row = np.repeat(np.arange(len(part)), n)
-                yield pd.DataFrame({"sig": np.concatenate(signed).view(np.int64)} | {c: part[c].to_numpy()[row] for c in ("class", "size", *marks)})
+            for at in range(0, len(frame), 4096):
+                flat = np.frombuffer(b"".join(frame["features"].iloc[at : at + 4096]), np.uint64)
+                total += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": at, "n": total[at]})
 
-    return reps.select("features", "class", "size", *marks).mapInPandas(plain(run), schema)
+    summed = reps.select("features").mapInPandas(plain(count), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[summed["counter"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
+    return frequency_classes(counts)
 
 
-def _meetings(threshold: float, hot: int, key: list[str]):
-    """For rows sorted by ``key``: pairs of neighbours with one key that the sizes and sketches allow; rows of crowded keys come out alone (class_b null)."""
-    marks = [f"s{i}" for i in range(SKETCH)]
-    factor = (1 - threshold) / (1 + threshold)
+def _signed(rows: DataFrame, threshold: float, instance: int, classes: np.ndarray) -> DataFrame:
+    """The signatures of every representative, or, from the second instance on, of rows (sig, role, band, ...) with their features, combined with the signature they have."""
 
-    def passed(p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"sig": np.int64(0), "class_a": np.minimum(p, q), "class_b": pd.array(np.maximum(p, q), dtype="Int64")}).drop_duplicates()
-
-    def blocks(group: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> list[pd.DataFrame]:
-        """Large buckets: differing bits of all pairs of a block at once, as a product of matrices of signs."""
-        found = []
-        signs = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-        edges = np.flatnonzero(np.diff(np.concatenate(([-1], group, [-1]))))
-        for a, b in zip(edges, edges[1:]):
-            for i in range(a, b, BLOCK):
-                for j in range(i, b, BLOCK):
-                    x, y = slice(i, min(b, i + BLOCK)), slice(j, min(b, j + BLOCK))
-                    apart = (64 * SKETCH - signs[x] @ signs[y].T) / 2
-                    sx, sy = sizes[x].astype(np.float32)[:, None], sizes[y].astype(np.float32)[None, :]
-                    r, c = np.nonzero(apart <= factor * (sx + sy) + 1e-3)
-                    r, c = r + i, c + j
-                    ok = (r < c) & (sizes[r] >= threshold * sizes[c]) & (sizes[c] >= threshold * sizes[r]) & (ids[r] != ids[c])
-                    if ok.any():
-                        found.append(passed(ids[r[ok]], ids[c[ok]]))
-        return found
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        group = (frame[key] != frame[key].shift()).any(axis=1).to_numpy().cumsum()
-        many = np.bincount(group)[group]
-        lone = many > hot
-        crowded = frame.loc[lone, [key[0], "class"]]
-        out = [pd.DataFrame({"sig": crowded[key[0]].to_numpy(), "class_a": crowded["class"].to_numpy(), "class_b": pd.array([None] * len(crowded), dtype="Int64")})]
-        big = (many > LARGE) & ~lone
-        if big.any():
-            out += blocks(group[big], frame["size"].to_numpy(np.int64)[big], frame["class"].to_numpy(np.int64)[big], frame.loc[big, marks].to_numpy(np.int64))
-        keep = (many > 1) & (many <= LARGE)
-        group, sizes, ids = group[keep], frame["size"].to_numpy(np.int64)[keep], frame["class"].to_numpy(np.int64)[keep]
-        bits = frame.loc[keep, marks].to_numpy(np.int64).view(np.uint64)
-        step, at = 1, np.arange(max(0, len(group) - 1))
-        while len(at):
-            at = at[at + step < len(group)]
-            at = at[group[at] == group[at + step]]
-            x, y = at, at + step
-            fits = (sizes[x] >= threshold * sizes[y]) & (sizes[y] >= threshold * sizes[x]) & (ids[x] != ids[y])
-            x, y = x[fits], y[fits]
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
-            near = apart <= factor * (sizes[x] + sizes[y]) + 1e-9
-            p, q = ids[x[near]], ids[y[near]]
-            if len(p):
-                out.append(passed(p, q))
-            step += 1
-        return pd.concat(out)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for begin in range(0, len(frame), 256):
+                chunk = frame.iloc[begin : begin + 256]
+                flat, starts, sizes = ordered([np.frombuffer(f, np.uint64) for f in chunk["features"]], classes)
+                if instance:
+                    at, role, band = np.arange(len(chunk)), chunk["role"].to_numpy(np.int64), chunk["band"].to_numpy(np.int64)
+                else:
+                    at, role, band = roles(sizes, threshold)
+                entry, sig = signatures(flat, starts[at], sizes[at], role, band, threshold, instance)
+                row = at[entry]
+                if instance:
+                    with np.errstate(over="ignore"):
+                        sig = _mix(sig + _mix(chunk["sig"].to_numpy(np.int64).view(np.uint64), 55)[row], 56)
+                yield pd.DataFrame({"sig": sig.view(np.int64), "role": role[entry].astype(np.int8), "band": band[entry].astype(np.int8)} | {c: chunk[c].to_numpy()[row] for c in ("class", "size", *_MARKS)})
+
+    kept = [*(("sig", "role", "band") if instance else ()), "features", "class", "size", *_MARKS]
+    return rows.select(*kept).mapInPandas(plain(run), _ROW)
+
+
+def _compare(columns: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(class_a, class_b) of rows sorted by signature that meet as smaller and larger and pass the size and sketch bounds."""
+    factor = (1 - threshold) / (1 + threshold)
+    sig, size, ids = columns["sig"], columns["size"], columns["class"]
+    edges = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
+    smaller = np.add.reduceat((columns["role"] == SMALL).astype(np.int64), edges[:-1])
+    larger = np.diff(edges) - smaller
+    both = np.flatnonzero((smaller > 0) & (larger > 0))
+    first, smaller, larger = edges[:-1][both], smaller[both], larger[both]
+    out_a, out_b = [], []
+    dense = smaller * larger > DENSE
+    for at, n, more in zip(first[dense], smaller[dense], larger[dense]):
+        bits = np.ascontiguousarray(np.stack([columns[m][at : at + n + more] for m in _MARKS], 1)).view(np.uint8)
+        signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
+        for lo in range(at, at + n, 1024):
+            for low in range(at + n, at + n + more, 1024):
+                x, y = slice(lo, min(lo + 1024, at + n)), slice(low, min(low + 1024, at + n + more))
+                apart = (64 * SKETCH - signs[x.start - at : x.stop - at] @ signs[y.start - at : y.stop - at].T) / 2
+                r, c = np.nonzero(apart <= factor * (size[x].astype(np.float32)[:, None] + size[y].astype(np.float32)[None, :]) + 1e-3)
+                r, c = r + lo, c + low
+                fits = (size[r] >= threshold * size[c]) & ((size[r] < size[c]) | ((size[r] == size[c]) & (ids[r] < ids[c])))
+                out_a.append(ids[r[fits]])
+                out_b.append(ids[c[fits]])
+    first, smaller, larger = first[~dense], smaller[~dense], larger[~dense]
+    block = np.cumsum(smaller * larger) // PAIRS_AT_ONCE
+    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else []
+    for lo, hi in zip(cuts, cuts[1:]):
+        n = smaller[lo:hi] * larger[lo:hi]
+        of = np.repeat(np.arange(lo, hi), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = first[of] + k // larger[of], first[of] + smaller[of] + k % larger[of]
+        fits = (size[x] >= threshold * size[y]) & ((size[x] < size[y]) | ((size[x] == size[y]) & (ids[x] < ids[y])))
+        x, y = x[fits], y[fits]
+        apart = np.zeros(len(x), np.int64)
+        for m in _MARKS:
+            apart += np.bitwise_count((columns[m][x] ^ columns[m][y]).view(np.uint64))  # of a negative number the bits of its amount would count
+        near = apart <= factor * (size[x] + size[y]) + 1e-9
+        out_a.append(ids[x[near]])
+        out_b.append(ids[y[near]])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_a or none), np.concatenate(out_b or none)
+
+
+def _meetings(threshold: float, hot: int):
+    """For rows sorted by signature and role: the pairs that meet (``other`` set); rows of a signature with more than ``hot`` of them come out alone. At most a batch and ``hot`` rows are held."""
+    names = [c.split()[0] for c in _ROW.split(", ")]
+
+    def lone(columns: dict[str, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame(columns | {"other": pd.array([None] * len(columns["sig"]), dtype="Int64")})
+
+    def judged(columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        sig = columns["sig"]
+        if not len(sig):
+            return
+        group = np.concatenate(([0], np.cumsum(sig[1:] != sig[:-1])))
+        crowded = np.bincount(group)[group] > hot
+        if crowded.any():
+            yield lone({c: v[crowded] for c, v in columns.items()})
+            columns = {c: v[~crowded] for c, v in columns.items()}
+        if len(columns["sig"]):
+            a, b = _compare(columns, threshold)
+            if len(a):
+                met = pd.DataFrame({"class": a, "other": b}).drop_duplicates()
+                yield pd.DataFrame({c: met["class"] if c == "class" else np.zeros(len(met), np.int64) for c in names} | {"other": met["other"].astype("Int64")})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
+        held: list[dict[str, np.ndarray]] = []
+        rows, flooded = 0, None
         for frame in frames:
-            if not len(frame):
-                continue
-            held.append(frame)
-            rows += len(frame)
+            columns = {c: frame[c].to_numpy() for c in names}
+            if flooded is not None:
+                same = columns["sig"] == flooded
+                if same.any():
+                    yield lone({c: v[same] for c, v in columns.items()})
+                    columns = {c: v[~same] for c, v in columns.items()}
+                if not len(columns["sig"]):
+                    continue
+                flooded = None
+            held.append(columns)
+            rows += len(columns["sig"])
             if rows < 60_000:
                 continue
-            whole = pd.concat(held, ignore_index=True)
-            last = whole[key].iloc[-1]
-            open_from = int((whole[key] == last).all(axis=1).to_numpy().argmax())  # the last key may go on in the next batch
-            held, rows = [whole.iloc[open_from:]], len(whole) - open_from
-            if open_from:
-                yield compare(whole.iloc[:open_from].reset_index(drop=True))
+            whole = {c: np.concatenate([h[c] for h in held]) for c in names}
+            last = whole["sig"][-1]
+            open_from = int(np.argmax(whole["sig"] == last))  # the last signature may go on in the next batch
+            yield from judged({c: v[:open_from] for c, v in whole.items()})
+            rest = {c: v[open_from:] for c, v in whole.items()}
+            if rows - open_from > hot:
+                yield lone(rest)
+                held, rows, flooded = [], 0, last
             else:
-                rows = 0  # one key longer than a batch: gather on
+                held, rows = [rest], rows - open_from
         if held:
-            yield compare(pd.concat(held, ignore_index=True))
+            yield from judged({c: np.concatenate([h[c] for h in held]) for c in names})
 
     return run
 
 
-def _met(signed: DataFrame, key: list[str], threshold: float, hot: int) -> DataFrame:
-    placed = signed.repartition(*key).sortWithinPartitions(*key)
-    return placed.mapInPandas(plain(_meetings(threshold, hot, key)), "sig long, class_a long, class_b long")
-
-
-def candidates(reps: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
-    """Distinct pairs of representatives that share a signature and pass the size and sketch bounds."""
-    first = cut_lineage(_met(_signed(reps, threshold, 0), ["sig"], threshold, hot).distinct())
-    pairs = first.where("class_b is not null").select("class_a", "class_b")
-    # crowded signatures: only together with a signature of the second instance
-    crowded = first.where("class_b is null").select("sig", F.col("class_a").alias("class"))
-    if crowded.limit(1).count():
-        second = _signed(reps, threshold, 1).withColumnRenamed("sig", "sig2")
-        again = _met(crowded.join(second, "class"), ["sig", "sig2"], threshold, 1 << 62).where("class_b is not null")
-        pairs = pairs.unionByName(again.select("class_a", "class_b"))
-    return pairs.distinct()
+def candidates(reps: DataFrame, threshold: float, hot: int = HOT, instances: int = INSTANCES) -> DataFrame:
+    """Distinct pairs (class_a, class_b) of representatives that share a signature and pass the size and sketch bounds."""
+    if threshold <= 0.5:
+        raise ValueError("the pigeonhole needs two common elements, so a threshold above 0.5")
+    classes = feature_classes(reps)
+    features = reps.select("class", "features")
+    rows, found_pairs = reps, []
+    for instance in range(instances):
+        signed = _signed(rows, threshold, instance, classes)
+        placed = signed.repartition("sig").sortWithinPartitions("sig", "role")
+        met = cut_lineage(placed.mapInPandas(plain(_meetings(threshold, hot)), _ROW + ", other long"))
+        found_pairs.append(met.where("other is not null").select(F.col("class").alias("class_a"), F.col("other").alias("class_b")))
+        crowded = met.where("other is null").drop("other")
+        if crowded.limit(1).count() == 0:
+            break
+        rows = crowded.join(features, "class")
+    else:
+        left, right = (crowded.where(F.col("role") == r).select("sig", *(F.col(c).alias(f"{c}_{r}") for c in ("class", "size", *_MARKS))) for r in (SMALL, LARGE))
+        apart = sum((F.bit_count(F.col(f"{m}_0").bitwiseXOR(F.col(f"{m}_1"))) for m in _MARKS), F.lit(0))
+        fits = F.expr(f"size_0 >= {threshold} * size_1 and (size_0 < size_1 or (size_0 = size_1 and class_0 < class_1))")
+        joined = left.join(right, "sig").where(fits & (apart <= (1 - threshold) / (1 + threshold) * (F.col("size_0") + F.col("size_1")) + 1e-9))
+        found_pairs.append(joined.select(F.col("class_0").alias("class_a"), F.col("class_1").alias("class_b")))
+    out = found_pairs[0]
+    for more in found_pairs[1:]:
+        out = out.unionByName(more)
+    return out.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct()
 
 
 def alike_classes(reps: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:

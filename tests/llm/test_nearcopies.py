@@ -56,9 +56,9 @@ def test_a_third_of_the_rows_are_copies(spark):
 
 
 def test_crowded_signatures_lose_nothing(spark):
-    papers = frame(spark, library(2))
+    papers = frame(spark, library(2, 50))
     calm = {tuple(r)[:2] for r in N.links(papers).collect()}
-    crowded = {tuple(r)[:2] for r in N.links(papers, hot=2).collect()}
+    crowded = {tuple(r)[:2] for r in N.links(papers, hot=12).collect()}
     assert calm == crowded
 
 
@@ -76,26 +76,57 @@ def test_empty(spark):
     assert N.found(frame(spark, library()).limit(0)).count() == 0
 
 
-def test_borderline_pairs_share_a_signature():
-    """Sets whose similarity is just at the threshold, over many sizes."""
-    import numpy as np
+def signed(features, role, instance=0):
+    """The signatures of one set in one role, over all its bands."""
+    classes = N.frequency_classes(np.arange(N.COUNTERS) % 97)
+    flat, starts, sizes = N.ordered([features], classes)
+    at, roles, bands = N.roles(sizes, 0.6)
+    keep = roles == role
+    return N.signatures(flat, starts[at[keep]], sizes[at[keep]], roles[keep], bands[keep], 0.6, instance)[1]
+
 
+def test_borderline_pairs_share_a_signature():
+    """Sets whose similarity is just at the threshold, over many sizes, in every instance."""
     rng = np.random.default_rng(0)
     for size in [2, 3, 4, 5, 8, 12, 20, 35, 50, 90, 200, 600]:
-        for _ in range(60):
+        for turn in range(60):
             other = rng.integers(int(np.ceil(0.6 * size)), size + 1)
             common = int(np.ceil(0.6 * (size + other) / 1.6))
             if common > min(size, other):
                 continue
             base = rng.integers(0, 2**63, size + other).astype(np.uint64)
             a, b = np.unique(base[:size]), np.unique(np.concatenate([base[:common], base[size : size + other - common]]))
-            assert len(np.intersect1d(N.signatures(a, 0.6, 0), N.signatures(b, 0.6, 0)))
+            if len(a) != size or len(b) != other or common == size == other:
+                continue
+            assert len(np.intersect1d(signed(b, N.SMALL, turn % 3), signed(a, N.LARGE, turn % 3)))
             apart = np.bitwise_count(N.sketch(a).view(np.uint64) ^ N.sketch(b).view(np.uint64)).sum()
             assert apart <= len(np.setxor1d(a, b))
 
 
-def test_empty_contents_sign_in_every_band():
-    for size in (1, 5, 22, 36, 37, 60, 150, 400):
+def test_signatures_grow_with_the_size_and_stand_for_two_features():
+    for size in (8, 60, 400, 5000):
         features = np.unique(np.random.default_rng(size).integers(1, 2**63, size).astype(np.uint64))
-        own = N.band_of(len(features), 0.6)
-        assert len(N.signatures(features, 0.6, 0)) == sum(len(N._SUBSETS) * N.parts_of(band, 0.6) for band in (own, own + 1))
+        assert len(signed(features, N.SMALL)) + len(signed(features, N.LARGE)) < 8 * size
+    assert not len(signed(np.array([5], np.uint64), N.LARGE))
+
+
+def test_still_crowded_after_all_instances(spark):
+    reps = N.prepared(frame(spark, library(4, 50)))[1]
+    calm = {tuple(r) for r in N.candidates(reps, 0.6).collect()}
+    assert calm == {tuple(r) for r in N.candidates(reps, 0.6, hot=1, instances=1).collect()}
+
+
+def test_dense_buckets_compare_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 3000
+    base = rng.integers(-(2**63), 2**63, (40, N.SKETCH))
+    columns = {"sig": np.sort(rng.integers(0, 3, n)), "size": rng.integers(60, 120, n), "class": rng.permutation(n)}
+    columns["role"] = np.zeros(n, np.int8)
+    for g in range(3):
+        at = np.flatnonzero(columns["sig"] == g)
+        columns["role"][at[len(at) // 2 :]] = N.LARGE
+    marks = base[rng.integers(0, 40, n)]
+    columns |= {m: np.ascontiguousarray(marks[:, i]) for i, m in enumerate(N._MARKS)}
+    dense = set(zip(*N._compare(columns, 0.6)))
+    monkeypatch.setattr(N, "DENSE", 1 << 40)
+    assert dense == set(zip(*N._compare(columns, 0.6))) and len(dense) > 1000
