@@ -10,7 +10,8 @@ the state carries the number of bytes still due. Every labelled span gets the in
 is labelled again until nothing changes (text that was garbled twice), at most ``ROUNDS`` times.
 
 Defined results: null and empty texts are clean; U+FFFD always counts as damage that cannot be repaired by itself;
-rightly spelled foreign letters and symbols stay; a text is returned whole, whatever its length.
+rightly spelled foreign letters and symbols stay; a text is returned whole, whatever its length, and a stretch is labelled in
+one go; ``complete`` says that every span could be decoded and that no other pair reads it nearly as well.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ LOST = "�"
 SINGLE = {"cp1252": -6.9, "latin-1": -6.9, "mac-roman": -7.5, "cp437": -7.5, "cp850": -8.5, "cp1251": -9.2, "cp1250": -9.2, "koi8-r": -9.2, "cp866": -9.2}
 #: Encodings that read UTF-8 two bytes at a time.
 DOUBLE = {"gbk": -16.0, "big5": -18.0, "shift_jis": -18.0, "euc_kr": -18.0}
+#: By how much (log-probability) a restored text must beat every other reading to count as regained.
+MARGIN = math.log(20)
 STAY, LEAVE = math.log(0.98), math.log(0.3)
 NEVER = -1e9
 
@@ -111,16 +114,16 @@ BYTES = {codec: _bytes_of(codec) for codec in SINGLE}
 _NEED = [0] * 256
 for _b in range(0xC2, 0xF5):
     _NEED[_b] = 1 if _b < 0xE0 else 2 if _b < 0xF0 else 3
-#: States: 0 clean, 1 lost, then the pairs.
-GBK = {("gbk", "cp1252"): -9.2, ("gbk", "latin-1"): -9.2}
+#: Two-byte encodings read byte by byte, and the log-probability of entering their state.
+PAIRED = {(true, wrong): -9.2 for true in ("gbk", "euc_kr", "shift_jis") for wrong in ("cp1252", "latin-1")}
 #: Cyrillic encodings read as another single-byte encoding, letter by letter.
 LETTERS = {
     ("cp1251", "cp1252"): -9.2, ("cp1251", "latin-1"): -9.2, ("koi8-r", "cp1252"): -9.2, ("koi8-r", "latin-1"): -9.2,
     ("koi8-r", "cp1251"): -6.0, ("cp1251", "koi8-r"): -8.0, ("cp866", "cp1251"): -9.2, ("cp1251", "cp866"): -9.2,
 }
-PAIRS = [("utf-8", w) for w in SINGLE] + [*GBK] + [*LETTERS] + [("utf-8", w) for w in DOUBLE]
-ENTER = [*SINGLE.values(), *GBK.values(), *LETTERS.values(), *DOUBLE.values()]
-FIRST_GBK, FIRST_LETTERS = len(SINGLE), len(SINGLE) + len(GBK)
+PAIRS = [("utf-8", w) for w in SINGLE] + [*PAIRED] + [*LETTERS] + [("utf-8", w) for w in DOUBLE]
+ENTER = [*SINGLE.values(), *PAIRED.values(), *LETTERS.values(), *DOUBLE.values()]
+FIRST_PAIRED, FIRST_LETTERS = len(SINGLE), len(SINGLE) + len(PAIRED)
 FIRST_DOUBLE = FIRST_LETTERS + len(LETTERS)
 
 
@@ -164,17 +167,77 @@ def _double_step(ch: str, codec: str, due: int) -> tuple[float, int]:
     return score, due
 
 
-def _groups(text: str, i: int) -> list[tuple[int, int, float]]:
-    """(pair, length, log-probability) of every group that begins at ``i`` in a single-byte reading."""
-    out = []
+@lru_cache(1 << 16)
+def spoken(ch: str, true: str) -> float:
+    """Log-probability that text in the language of a two-byte encoding shows ``ch``; NEVER for what it does not hold."""
+    c = ord(ch)
+    if true == "gbk":
+        kind, score = clean_class(ch)
+        return score if kind in "hp" else NEVER
+    if 0x3001 <= c <= 0x3002 or 0xFF01 <= c <= 0xFF5E or ch in "「」『』（）":
+        return math.log(0.1 / 20)
+    if true == "euc_kr":
+        return math.log(0.9 / 2350) if 0xAC00 <= c <= 0xD7A3 else math.log(1e-3 / 4888) if 0x4E00 <= c <= 0x9FFF else NEVER
+    if 0x3041 <= c <= 0x30FC:
+        return math.log(0.6 / 165)
+    return math.log(0.3 / 2965 if ch.encode("shift_jis")[0] < 0x98 else 1e-3 / 3390) if 0x4E00 <= c <= 0x9FFF else NEVER
+
+
+@lru_cache(1 << 17)
+def _two_byte_group(lead: int, second: int, true: str) -> float:
+    try:
+        x = bytes([lead, second]).decode(true)
+    except UnicodeDecodeError:
+        return NEVER
+    return spoken(x, true) - 6 * (second < 0x80) * (true != "shift_jis") if len(x) == 1 else NEVER
+
+
+@lru_cache(1 << 16)
+def _letter_group(ch: str, pair: int) -> float:
+    true, wrong = PAIRS[pair]
+    b = BYTES[wrong].get(ch)
+    if b is None:
+        return NEVER
+    try:
+        kind, score = clean_class(bytes([b]).decode(true))
+    except UnicodeDecodeError:
+        return NEVER
+    return score if kind in "kK" or (kind in "stm" and wrong in ("cp1252", "latin-1")) else NEVER
+
+
+_UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_UTF8_TWICE = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){2}")
+_CYRILLIC_OF = {at: frozenset(ch for ch in BYTES[PAIRS[at][1]] if _letter_group(ch, at) > NEVER and clean_class(bytes([BYTES[PAIRS[at][1]][ch]]).decode(PAIRS[at][0]))[0] in "kK") for at in range(FIRST_LETTERS, FIRST_DOUBLE)}
+_LEADS = {codec: frozenset(ch for ch, b in table.items() if _NEED[b]) for codec, table in BYTES.items()}
+_READ_AS = {codec: {ord(ch): b for ch, b in table.items()} for codec, table in BYTES.items()}
+
+
+def _possible(stretch: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The pairs of each kind whose state could emit any part of the stretch: readings of UTF-8, of two-byte encodings, of letters, and two bytes at a time."""
+    present = set(stretch)
+    singles = []
     for at, codec in enumerate(SINGLE):
         table = BYTES[codec]
-        lead = table.get(text[i])
+        if not present.isdisjoint(_LEADS[codec]) and _UTF8.search("".join(c if c in table else " " for c in stretch).translate(_READ_AS[codec])):
+            singles.append(at)
+    paired = [at for at in range(FIRST_PAIRED, FIRST_LETTERS) if not present.isdisjoint(BYTES[PAIRS[at][1]])]
+    letters = [at for at in range(FIRST_LETTERS, FIRST_DOUBLE) if not present.isdisjoint(_CYRILLIC_OF[at])]
+    doubles = [at for at in range(FIRST_DOUBLE, len(PAIRS)) if LOST in present or _UTF8_TWICE.search(stretch.encode(PAIRS[at][1], "replace"))]
+    return singles, paired, letters, doubles
+
+
+def _groups(text: str, i: int, singles: list[int], paired: list[int], letters: list[int]) -> list[tuple[int, int, float]]:
+    """(pair, length, log-probability) of every group that begins at ``i`` in a single-byte reading."""
+    out = []
+    ch = text[i]
+    for at in singles:
+        table = BYTES[PAIRS[at][1]]
+        lead = table.get(ch)
         n = _NEED[lead] if lead is not None else 0
         if n and i + n < len(text):
             raw = [lead]
-            for ch in text[i + 1 : i + 1 + n]:
-                b = table.get(ch, 0)
+            for more in text[i + 1 : i + 1 + n]:
+                b = table.get(more, 0)
                 if not 0x80 <= b < 0xC0:
                     break
                 raw.append(b)
@@ -184,80 +247,84 @@ def _groups(text: str, i: int) -> list[tuple[int, int, float]]:
                 except UnicodeDecodeError:
                     continue
                 out.append((at, n + 1, clean_class(x)[1]))
-    for at in range(FIRST_GBK, FIRST_LETTERS):
-        table = BYTES[PAIRS[at][1]]
-        if i + 1 < len(text) and text[i] in table:
-            b = table.get(text[i + 1], ord(text[i + 1]) if text[i + 1] < "\x80" else 0)
-            if b >= 0x40:
-                try:
-                    x = bytes([table[text[i]], b]).decode("gbk")
-                except UnicodeDecodeError:
-                    continue
-                kind, score = clean_class(x)
-                if kind in "hp":
-                    out.append((at, 2, score - 6 * (b < 0x80)))
-    for at in range(FIRST_LETTERS, FIRST_DOUBLE):
-        true, wrong = PAIRS[at]
-        b = BYTES[wrong].get(text[i])
-        if b is not None:
-            try:
-                kind, score = clean_class(bytes([b]).decode(true))
-            except UnicodeDecodeError:
-                continue
-            if kind in "kK" or (kind in "stm" and wrong in ("cp1252", "latin-1")):
-                out.append((at, 1, score))
+    if i + 1 < len(text):
+        for at in paired:
+            true, wrong = PAIRS[at]
+            table = BYTES[wrong]
+            if ch in table:
+                b = table.get(text[i + 1], ord(text[i + 1]) if text[i + 1] < "\x80" else 0)
+                score = _two_byte_group(table[ch], b, true) if b >= 0x40 else NEVER
+                if score > NEVER / 2:
+                    out.append((at, 2, score))
+    for at in letters:
+        score = _letter_group(ch, at)
+        if score > NEVER / 2:
+            out.append((at, 1, score))
     return out
 
 
-@lru_cache(1 << 15)
-def label(stretch: str) -> tuple[tuple[int, int, int], ...]:
-    """(begin, end, pair) of the spans that are not clean; pair -1 stands for lost characters."""
+def _viterbi(stretch: str) -> tuple[tuple[int, int, int], ...]:
+    """(begin, end, pair) of the spans that are not clean; pair -1 stands for lost characters.
+
+    A path is held as the chain of its spans (begin, pair, chain before), so a stretch of any length is labelled in one
+    go: only the states of the next few characters and the spans of the paths still alive are in memory.
+    """
+    singles, paired, letters, doubles = _possible(stretch)
+    if not (singles or paired or letters or doubles or LOST in stretch) and not any(0x80 <= ord(c) < 0xA0 for c in stretch):
+        return ()
     n = len(stretch)
-    best: list[dict[tuple[int, int], tuple[float, int, tuple[int, int]]]] = [{} for _ in range(n + 1)]
-    best[0][(-2, 0)] = (0.0, 0, (-2, 0))
+    first = (0, -2, None)
+    ahead: list[dict] = [{(-2, 0): (0.0, first)}, {}, {}, {}, {}]
 
-    def offer(at: int, state: tuple[int, int], score: float, before: int, origin: tuple[int, int]) -> None:
-        if score > NEVER / 2 and (state not in best[at] or best[at][state][0] < score):
-            best[at][state] = (score, before, origin)
+    def offer(by: int, state: tuple[int, int], score: float, chain: tuple, i: int) -> None:
+        here = ahead[by]
+        if score > NEVER / 2 and (state not in here or here[state][0] < score):
+            here[state] = (score, chain if chain[1] == state[0] else (i, state[0], chain))
 
     previous = "a"
     for i in range(n):
         ch = stretch[i]
         kind, emit = clean_class(ch)
         emit += NEXT.get((previous, kind), 0.0)
-        groups = _groups(stretch, i) if kind != "a" else []
-        for state, (score, _, _) in list(best[i].items()):
+        groups = _groups(stretch, i, singles, paired, letters) if kind != "a" else []
+        for state, (score, chain) in ahead[0].items():
             pair, due = state
             out = score if pair == -2 else score + (LEAVE if due == 0 else -12.0)
             if kind == "a":
-                offer(i + 1, state, score, i, state) if due == 0 else offer(i + 1, (-2, 0), out, i, state)
+                offer(1, state, score, chain, i) if due == 0 else offer(1, (-2, 0), out, chain, i)
                 continue
-            offer(i + 1, (-2, 0), out + emit, i, state)
+            offer(1, (-2, 0), out + emit, chain, i)
             if ch == LOST:
-                offer(i + 1, (-1, 0), (score if pair == -1 else out - 2.0) - 1.0, i, state)
+                offer(1, (-1, 0), (score if pair == -1 else out - 2.0) - 1.0, chain, i)
                 if pair >= FIRST_DOUBLE:
                     for owed in (0, 1, 2):
-                        offer(i + 1, (pair, owed), score - 5.0, i, state)
+                        offer(1, (pair, owed), score - 5.0, chain, i)
             if due == 0:
                 for k, length, probability in groups:
-                    offer(i + length, (k, 0), (score + STAY if k == pair else out + ENTER[k]) + probability, i, state)
-            for k in range(FIRST_DOUBLE, len(PAIRS)):
+                    offer(length, (k, 0), (score + STAY if k == pair else out + ENTER[k]) + probability, chain, i)
+            for k in doubles:
                 if k == pair or due == 0:
                     step, owed = _double_step(ch, PAIRS[k][1], due if k == pair else 0)
                     if step > NEVER / 2:
-                        offer(i + 1, (k, owed), (score if k == pair else out + ENTER[k]) + step, i, state)
+                        offer(1, (k, owed), (score if k == pair else out + ENTER[k]) + step, chain, i)
         previous = kind
-    ends = {s: v[0] - (8.0 if s[1] and s[0] >= FIRST_DOUBLE else 0.0) for s, v in best[n].items()}
-    state, at, spans = max(ends, key=lambda s: ends[s]), n, []
-    while at > 0:
-        _, before, origin = best[at][state]
-        if state[0] != -2:
-            if spans and spans[-1][2] == state[0] and spans[-1][0] == at:
-                spans[-1] = (before, spans[-1][1], state[0])
-            else:
-                spans.append((before, at, state[0]))
-        at, state = before, origin
-    return tuple(sorted(spans))
+        ahead = [*ahead[1:], {}]
+    _, chain = max(ahead[0].items(), key=lambda x: x[1][0] - (8.0 if x[0][1] and x[0][0] >= FIRST_DOUBLE else 0.0))[1]
+    end, spans = n, []
+    while chain is not None:
+        begin, pair, before = chain
+        if pair != -2 and begin < end:
+            spans.append((begin, end, pair))
+        end, chain = begin, before
+    # a few capitals alone are no evidence of another alphabet
+    return tuple(x for x in reversed(spans) if not (FIRST_LETTERS <= x[2] < FIRST_DOUBLE and PAIRS[x[2]][1] in ("cp1252", "latin-1") and x[1] - x[0] < 4 and stretch[x[0] : x[1]].isupper()))
+
+
+_remembered = lru_cache(1 << 15)(_viterbi)
+
+
+def label(stretch: str) -> tuple[tuple[int, int, int], ...]:
+    return _remembered(stretch) if len(stretch) <= 200 else _viterbi(stretch)
 
 
 def _whole_words(stretch: str, spans: tuple[tuple[int, int, int], ...]) -> list[tuple[int, int, int]]:
@@ -294,6 +361,25 @@ def undo(span: str, pair: int) -> tuple[str, bool]:
         return raw.decode(true, "replace"), False
 
 
+@lru_cache(1 << 12)
+def _text_score(text: str, true: str) -> float:
+    """Log-probability of a restored text, by the language its encoding stands for."""
+    if true in ("euc_kr", "shift_jis"):
+        return sum(max(spoken(ch, true), clean_class(ch)[1] if ch < "\x80" else -20.0) for ch in text)
+    return sum(max(clean_class(ch)[1], -20.0) for ch in text)
+
+
+def certain(span: str, pair: int, fixed: str) -> bool:
+    """Whether no other pair turns the span into another text nearly as probable."""
+    own = _text_score(fixed, PAIRS[pair][0])
+    for other in range(len(PAIRS)):
+        if other != pair and all(ch < "\x80" or ch in BYTES[PAIRS[other][1]] for ch in span) if PAIRS[other][1] in SINGLE else False:
+            text, decoded = undo(span, other)
+            if decoded and text != fixed and _text_score(text, PAIRS[other][0]) > own - MARGIN:
+                return False
+    return True
+
+
 def repair(text: str | None) -> tuple[str | None, int, str, bool]:
     """(text after repair, number of spans, their pairs, whether everything could be regained)."""
     if not text or text.isascii():
@@ -303,9 +389,10 @@ def repair(text: str | None) -> tuple[str | None, int, str, bool]:
         pieces, at, changed = [], 0, False
         for match in _STRETCH.finditer(current):
             stretch = match.group()
-            for begin, end, pair in _whole_words(stretch, label(stretch) if len(stretch) <= 4000 else tuple(_long(stretch))):
+            for begin, end, pair in _whole_words(stretch, label(stretch)):
                 begin, end = begin + match.start(), end + match.start()
                 fixed, complete = undo(current[begin:end], pair)
+                complete = complete and certain(current[begin:end], pair, fixed)
                 if turn == 0 or pair >= 0:
                     spans += 1
                     names.append("lost" if pair < 0 else "/".join(PAIRS[pair]))
@@ -319,19 +406,6 @@ def repair(text: str | None) -> tuple[str | None, int, str, bool]:
     return current, spans, ",".join(sorted(set(names))), whole
 
 
-def _long(stretch: str) -> list[tuple[int, int, int]]:
-    """A very long stretch in blocks that end at an ASCII or punctuation character where there is one; no character is left out."""
-    out, at = [], 0
-    while at < len(stretch):
-        end = min(len(stretch), at + 4000)
-        if end < len(stretch):
-            cut = max((stretch.rfind(c, at + 2000, end) for c in "。，、；. \n,;"), default=-1)
-            end = cut + 1 if cut > 0 else end
-        out += [(b + at, e + at, p) for b, e, p in label(stretch[at:end])]
-        at = end
-    return out
-
-
 def repaired(documents: DataFrame) -> DataFrame:
     """One row per affected document: restored text, number of damaged spans, encoding pairs, and whether all of it was regained."""
 

@@ -36,7 +36,7 @@ def test_other_pairs():
     assert E.repair(garbled)[1] > 0
 
 
-@pytest.mark.parametrize("text", [*TEXTS, "SÃO 52 AMOSTRAS DA ESTAÇÃO", "ÂGE MÉDIAN : 23 ; TÂCHE ; ÉTÉ.", "Die Größe Ä60 in ÄÖÜ-Schreibung", "În câmpia Âmara s-au măsurat 15 râuri.", "The symbols ± µ § ¶ © ® appear", "", None, "plain", "СССР» и «РФ»", "ОШИБКА СНИЖАЕТСЯ В СССР, США и на БАМе", "В МГУ и ГЭС", "读楠璟泠诗的人"])
+@pytest.mark.parametrize("text", [*TEXTS, "SÃO 52 AMOSTRAS DA ESTAÇÃO", "ÂGE MÉDIAN : 23 ; TÂCHE ; ÉTÉ.", "Die Größe Ä60 in ÄÖÜ-Schreibung", "În câmpia Âmara s-au măsurat 15 râuri.", "The symbols ± µ § ¶ © ® appear", "", None, "plain", "СССР» и «РФ»", "ОШИБКА СНИЖАЕТСЯ В СССР, США и на БАМе", "В МГУ и ГЭС", "读楠璟泠诗的人", "ÀÉÎ", "한국어 문장은 그대로", "これは正しい文です。"])
 def test_clean_stays(text):
     assert E.repair(text) == (text, 0, "", True)
 
@@ -57,3 +57,21 @@ def test_table(spark):
     assert sorted(r.doc_id for r in E.found(df).collect()) == [1, 5]
     assert {r.restored for r in E.repaired(df).collect()} == {"café"}
     assert E.found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp1251"])
+def test_a_garbled_stretch_of_any_length_has_no_seams(wrong):
+    text = "土壤湿度的核密度估计误差从百分之五降到百分之三" * 400
+    fixed, spans, _, _ = E.repair(spoil(text, "utf-8", wrong))
+    assert fixed == text and spans == 1
+
+
+@pytest.mark.parametrize(("text", "true"), [("한국어로 쓴 문장은 여기에서 끝난다", "euc_kr"), ("これは日本のひとのことばです", "shift_jis")])
+def test_korean_and_japanese_come_back(text, true):
+    assert E.repair(spoil(text, true, "latin-1"))[0] == text
+
+
+def test_complete_is_claimed_only_without_a_rival():
+    fixed, spans, _, complete = E.repair("caf" + spoil("é", "utf-8", "cp1252"))
+    assert fixed == "café" and complete
+    assert not E.certain("Ê", E.PAIRS.index(("koi8-r", "latin-1")), "й")
