@@ -62,3 +62,23 @@ def test_substitutions_are_tolerated():
     with np.errstate(over="ignore"):
         shared = sum(len(np.intersect1d(a, b)) for a, b in zip(L.seeds(doc, L.WORD_MASKS), L.seeds(item, L.WORD_MASKS)))
     assert shared > 0
+
+
+def test_overlaps_agree_with_the_leaks(spark):
+    rng = random.Random(4)
+    item = rng.choices(WORDS, k=40)
+    changed = [w if k % 13 != 5 else "other" for k, w in enumerate(item)]
+    docs = [(1, " ".join(item[3:30])), (2, " ".join(changed)), (3, " ".join(rng.choices(WORDS, k=300))), (None, " ".join(item))]
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, "en", " ".join(item)), (None, "en", " ".join(item))], "item_id long, lang string, text string")
+    rows = {r.doc_id: r for r in L.leaked_items(df, ev).collect()}
+    assert {(r.doc_id, r.item_id) for r in rows.values() if r.leaked} == {tuple(r) for r in L.found(df, ev).collect()}
+    assert rows[1].exact_run == 27 and rows[2].overlap > rows[2].exact_run
+    assert L.leaked_items(df.limit(0), ev).count() == 0
+
+
+def test_filters_keep_what_they_hold(spark):
+    hashes = np.random.default_rng(2).integers(-(2**63), 2**63, 3000)
+    bits = L.filter_bits(spark.createDataFrame([("x", int(h)) for h in hashes], "track string, seed long"))["x"]
+    assert L._passes(bits, hashes.view(np.uint64)).all()
+    others = np.random.default_rng(3).integers(-(2**63), 2**63, 3000).view(np.uint64)
+    assert L._passes(bits, others).sum() < 30
