@@ -1,12 +1,13 @@
 """Conversations rebuilt from message rows.
 
 Rows are normalised (ids and conversation ids by case and outer spaces, roles to speakers, times to seconds), repeated
-ids count once, and each conversation is held as *fragments* of about ``FRAGMENT`` messages: a long conversation is cut
-by time, so no task ever holds all of it. A fragment carries the first message of its successor, as overlapping exports
-do. ``assemble`` puts fragments together: the message hashes at the end of one must be those at the beginning of the
-next; contained fragments go, the longest overlap of each end is an edge, an end with two equally long overlaps to
-different fragments is ambiguous and stays open, and the paths left are merged by pointer doubling. A conversation
-that does not come out as one path has a gap.
+ids count once, and each conversation is held as *fragments* of at most ``FRAGMENT`` messages: a long one is cut by the
+rank of its messages, whatever their times, so no task ever holds all of it. A fragment carries the first message of its
+successor, as overlapping exports do. ``assemble`` puts fragments together: the message hashes at the end of one must be
+those at the beginning of the next; contained fragments go, the longest overlap of each end is an edge, an end with two
+equally long overlaps to different fragments is ambiguous and stays open, and the paths left are merged by pointer
+doubling. The path decides which message opens a conversation and where each one stands; a conversation that does not
+come out as one path has a gap and is broken.
 
 Defined results: null or blank conversation ids belong to no conversation; a null id is a message of its own; system
 rows are ignored; null content is blank; at equal seconds the user's message comes first, then the id decides.
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.hot import ranked
 from paperloom.session import cut_lineage
 
 FRAGMENT = 400
@@ -66,40 +68,38 @@ def normalised(messages: DataFrame, content: bool = False) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """``rows`` with the column ``fragment``: 0 for conversations of ordinary length, a time slice for the long ones."""
-    long_ones = cut_lineage(
-        rows.groupBy("conv").agg(F.count("*").alias("n"), F.min("second").alias("a"), F.max("second").alias("b")).where(F.col("n") > FRAGMENT)
-    )
-    n_long = long_ones.count()
-    side = F.broadcast(long_ones) if n_long <= BROADCAST_ROWS else long_ones
-    slice_no = F.floor((F.col("second") - F.col("a")) * F.ceil(F.col("n") / F.lit(FRAGMENT)) / (F.col("b") - F.col("a") + 1))
-    return rows.join(side, "conv", "left").withColumn("fragment", F.coalesce(slice_no, F.lit(0)).cast("long")).drop("n", "a", "b")
+    """``rows`` with the column ``fragment``: 0 for conversations of ordinary length, from 1 on ``FRAGMENT`` ranks each for the long ones, whose rows come out once per id."""
+    long_ones = cut_lineage(rows.groupBy("conv").agg(F.count("*").alias("n")).where(F.col("n") > FRAGMENT).select("conv"))
+    side = F.broadcast(long_ones) if long_ones.count() <= BROADCAST_ROWS else long_ones
+    short = rows.join(side, "conv", "left_anti").withColumn("fragment", F.lit(0).cast("long"))
+    rest = [c for c in rows.columns if c not in ("conv", "mid")]
+    single = rows.join(side, "conv", "left_semi").groupBy("conv", "mid").agg(F.min(F.struct(*_first(rest))).alias("m")).select("conv", "mid", *(F.col(f"m.{c}").alias(c) for c in rest))
+    place = ranked(single, "conv", "second", [F.col("second"), F.col("turn"), F.col("mid")], "place")
+    return short.unionByName(place.withColumn("fragment", (F.floor((F.col("place") - 1) / FRAGMENT) + 1).cast("long")).drop("place"))
+
+
+def _first(columns: list[str]) -> list[str]:
+    """The columns in the order in which the row of a repeated id is chosen."""
+    return ["blank", "second", *(c for c in columns if c not in ("blank", "second"))]
 
 
 def once(rows: DataFrame) -> DataFrame:
     """One row per (conversation, fragment, message id); partitioned by conversation and fragment, so that the next grouping needs no shuffle."""
     rest = [c for c in rows.columns if c not in ("conv", "fragment", "mid")]
     by = rows.repartition("conv", "fragment").groupBy("conv", "fragment", "mid")
-    order = F.struct("blank", "second", *[c for c in rest if c not in ("blank", "second")])
-    return by.agg(F.min(order).alias("m")).select("conv", "fragment", "mid", *(F.col(f"m.{c}").alias(c) for c in rest))
+    return by.agg(F.min(F.struct(*_first(rest))).alias("m")).select("conv", "fragment", "mid", *(F.col(f"m.{c}").alias(c) for c in rest))
 
 
-def fragments(messages: DataFrame) -> DataFrame:
+def fragments(messages: DataFrame, content: bool = False) -> DataFrame:
     """(conv, fragment, turns, own): turns in order spoken; ``own`` of them belong to the fragment, one more may be carried from the next."""
-    turn = F.struct("second", "turn", "mid", "speaker", "blank", "hash")
-    whole = cut_lineage(once(placed(normalised(messages))).groupBy("conv", "fragment").agg(F.array_sort(F.collect_list(turn)).alias("turns")))
-    several = whole.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select("conv")
-    following = (
-        whole.join(several, "conv", "left_semi")
-        .select("conv", "fragment", F.col("turns")[0].alias("first"))
-        .select("conv", "fragment", F.lead("first").over(Window.partitionBy("conv").orderBy("fragment")).alias("carried"))
-    )
-    return (
-        whole.join(following, ["conv", "fragment"], "left")
-        .withColumn("own", F.size("turns"))
-        .withColumn("turns", F.when(F.col("carried").isNull(), F.col("turns")).otherwise(F.concat("turns", F.array("carried"))))
-        .drop("carried")
-    )
+    turn = F.struct("second", "turn", "mid", "speaker", "blank", "hash", *(["content"] if content else []))
+    whole = cut_lineage(once(placed(normalised(messages, content))).groupBy("conv", "fragment").agg(F.array_sort(F.collect_list(turn)).alias("turns")))
+    whole = whole.withColumn("own", F.size("turns"))
+    several = whole.where("fragment > 0")
+    following = several.select("conv", (F.col("fragment") - 1).alias("fragment"), F.col("turns")[0].alias("carried"))
+    turns_and_next = F.when(F.col("carried").isNull(), F.col("turns")).otherwise(F.concat("turns", F.array("carried")))
+    carried = several.join(following, ["conv", "fragment"], "left").select("conv", "fragment", turns_and_next.alias("turns"), "own")
+    return whole.where("fragment = 0").unionByName(carried)
 
 
 def assemble(parts: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -136,12 +136,12 @@ def assemble(parts: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def paths(parts: DataFrame) -> DataFrame:
-    return assemble(parts.select("conv", "fragment", F.transform("turns", lambda t: t["hash"]).alias("hashes")))
+    """``assemble`` for the conversations that are held as several fragments."""
+    return assemble(parts.where("fragment > 0").select("conv", "fragment", F.transform("turns", lambda t: t["hash"]).alias("hashes")))
 
 
-def verdicts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """(conversation_id, reason): the first reason to drop a conversation, null for those to keep."""
-    parts = cut_lineage(fragments(messages))
+def verdicts(conversations: DataFrame, parts: DataFrame, order: DataFrame) -> DataFrame:
+    """(conversation_id, reason): the first reason to drop a conversation, null for those to keep; ``parts`` are its fragments, ``order`` their paths."""
     after = F.expr("slice(turns, 2, own)")
     own = F.expr("slice(turns, 1, own)")
     double = F.zip_with(own, after, lambda a, b: (a["speaker"] == "assistant") & F.coalesce(b["speaker"] == "assistant", F.lit(False)))
@@ -155,29 +155,35 @@ def verdicts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
         F.exists(double, true).alias("double"),
         F.exists(unanswered, true).alias("unanswered"),
         (F.col("turns")[0]["speaker"] == "assistant").alias("opens"),
-    )
-    placed_parts = paths(parts)
-    whole = placed_parts.groupBy("conv").agg(F.count_distinct("root").alias("roots"))
+        (F.col("fragment") == 0).alias("alone"),
+    ).join(order, ["conv", "fragment"], "left")
     per = facts.groupBy("conv").agg(
-        F.bool_or("spoken").alias("spoken"), F.bool_or("nobody").alias("nobody"), F.bool_or("double").alias("double"), F.bool_or("unanswered").alias("unanswered"), F.min_by("opens", "fragment").alias("opens")
+        F.bool_or("spoken").alias("spoken"),
+        F.bool_or("nobody").alias("nobody"),
+        F.bool_or("double").alias("double"),
+        F.bool_or("unanswered").alias("unanswered"),
+        F.bool_or(F.col("opens") & (F.col("alone") | F.coalesce(F.col("start") == 0, F.lit(False)))).alias("opens"),
+        F.coalesce(F.min("root") != F.max("root"), F.lit(False)).alias("gap"),
     )
     known = conversations.select(clean_id("id").alias("conv")).where("conv is not null and conv != ''").distinct().withColumn("known", F.lit(True))
-    every = per.join(whole, "conv", "left").join(known, "conv", "full")
-    broken = F.col("known").isNull() | F.col("nobody") | F.col("double") | F.col("opens") | (F.col("roots") > 1)
+    every = per.join(known, "conv", "full")
+    broken = F.col("known").isNull() | F.col("nobody") | F.col("double") | F.col("opens") | F.col("gap")
     reason = F.when(~F.coalesce("spoken", F.lit(False)), "empty").when(broken, "broken").when(F.col("unanswered"), "missing_reply")
     return every.select(F.col("conv").alias("conversation_id"), reason.alias("reason"))
 
 
 def found(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    return verdicts(conversations, messages).where("reason is not null")
+    parts = fragments(messages)
+    return verdicts(conversations, parts, paths(parts)).where("reason is not null")
 
 
 def turns(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """The kept conversations, one row per turn: (conversation_id, position, speaker, content)."""
-    parts = cut_lineage(fragments(messages))
-    order = paths(parts).select("conv", "fragment", "start")
-    kept = verdicts(conversations, messages).where("reason is null").select(F.col("conversation_id").alias("conv"))
-    spoken = parts.join(kept, "conv", "left_semi").join(order, ["conv", "fragment"]).select("conv", "start", F.posexplode(F.expr("slice(turns, 1, own)")).alias("at", "t"))
-    content = messages.select(clean_id("id").alias("mid"), "content").groupBy("mid").agg(F.max("content").alias("content"))
-    rows = spoken.select("conv", F.col("t.mid").alias("mid"), F.col("t.speaker").alias("speaker"), (F.col("start") + F.col("at")).alias("position"))
-    return rows.join(content, "mid", "left").select(F.col("conv").alias("conversation_id"), "position", "speaker", F.regexp_replace("content", SPACE, "").alias("content"))
+    parts = fragments(messages, content=True)
+    order = cut_lineage(paths(parts))
+    kept = verdicts(conversations, parts, order).where("reason is null").select(F.col("conversation_id").alias("conv"))
+    # the last fragment may be no more than what its predecessor carries
+    gone = parts.where("fragment > 1").select("conv", "fragment").join(order, ["conv", "fragment"], "left_anti").select("conv", (F.col("fragment") - 1).alias("fragment"), F.lit(1).alias("more"))
+    spoken = parts.join(kept, "conv", "left_semi").join(order, ["conv", "fragment"], "left").join(gone, ["conv", "fragment"], "left").where("start is not null or fragment = 0")
+    rows = spoken.select("conv", F.coalesce("start", F.lit(0)).alias("start"), F.posexplode(F.expr("slice(turns, 1, own + coalesce(more, 0))")).alias("at", "t"))
+    return rows.select(F.col("conv").alias("conversation_id"), (F.col("start") + F.col("at")).alias("position"), F.col("t.speaker").alias("speaker"), F.regexp_replace("t.content", SPACE, "").alias("content"))

@@ -72,3 +72,38 @@ def test_empty_tables(spark):
     convs, messages = heads(spark, U + "1"), frame(spark, rows(("user", "a")))
     assert [tuple(r) for r in C.found(convs, messages.limit(0)).collect()] == [(U + "1", "empty")]
     assert [tuple(r) for r in C.found(convs.limit(0), messages).collect()] == [(U + "1", "broken")]
+
+
+def test_one_bad_time_leaves_the_fragments_short(spark):
+    turns = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3001)]
+    data = rows(*turns)
+    data[0] = (*data[0][:4], None)
+    parts = C.fragments(frame(spark, data)).collect()
+    assert max(r.own for r in parts) <= C.FRAGMENT and sum(r.own for r in parts) == 3001
+    same = [(*r[:4], 5) for r in data]
+    assert max(r.own for r in C.fragments(frame(spark, same)).collect()) <= C.FRAGMENT
+
+
+def test_a_last_fragment_of_one_message_is_kept(spark):
+    turns = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(C.FRAGMENT * 2 + 1)] + [("assistant", " ")]
+    data = rows(*turns[:-1])
+    convs = heads(spark, U + "1")
+    assert [r.reason for r in C.found(convs, frame(spark, data)).collect()] == ["missing_reply"]
+    data += [("-1x", U + "1", "assistant", "end", 1_800_000_000)]
+    out = C.turns(convs, frame(spark, data)).orderBy("position").collect()
+    assert [r.content for r in out] == [t for _, t in turns[:-1]] + ["end"] and [r.position for r in out] == list(range(len(out)))
+    long = data + [("-1y", U + "1", "user", "more", 1_800_000_001), ("-1z", U + "1", "assistant", "yes", 1_800_000_002)]
+    one_over = [r for r in long if r[0] != "-1m0000"][1:]
+    assert len(C.turns(convs, frame(spark, one_over)).collect()) in (0, len(one_over))
+
+
+def test_messages_without_an_id_keep_their_text(spark):
+    data = [(None, U + "1", "user", "q", 1), (None, U + "1", "assistant", "r", 2), ("a", U + "2", "user", "x", 1), ("a2", U + "2", "assistant", "y", 3), ("a", U + "3", "user", "other", 1), ("a3", U + "3", "assistant", "z", 3)]
+    out = C.turns(heads(spark, U + "1", U + "2", U + "3"), frame(spark, data)).collect()
+    assert {(r.conversation_id[-1], r.content) for r in out} == {("1", "q"), ("1", "r"), ("2", "x"), ("2", "y"), ("3", "other"), ("3", "z")}
+
+
+def test_without_assembly_long_conversations_are_broken(spark, monkeypatch):
+    data = rows(*[("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(1000)])
+    monkeypatch.setattr(C, "assemble", lambda parts: parts.selectExpr("conv", "fragment", "fragment as root", "0L as start"))
+    assert [r.reason for r in C.found(heads(spark, U + "1"), frame(spark, data)).collect()] == ["broken"]
