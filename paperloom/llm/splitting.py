@@ -1,10 +1,11 @@
 """Oversized section texts cut into overlapping pieces at natural boundaries, by lexical cohesion.
 
-At a candidate boundary the words in a block before it and in a block after it are compared (cosine of counts). A
-boundary where the similarity is lower than on both sides is a valley, and its depth is the sum of the two climbs. For
-each piece the window of admissible ends is looked at; among its boundaries of the best kind (paragraph, sentence, line,
-clause, space, any character) the one with the deepest valley is taken. The next piece begins ``overlap`` characters
-before that end, so consecutive pieces share exactly that many.
+At every boundary of a paragraph, sentence or line of the whole text the words in a block before it and in a block after
+it are compared (cosine of counts). A boundary where the similarity is lower than on both sides is a valley, and its
+depth is the sum of the two climbs. For each piece the window of admissible ends is looked at, and the boundary with the
+deepest valley is taken; the kind of mark only decides between equal depths. A window without any such boundary is
+searched for clauses, then spaces, then any character. The next piece begins ``overlap`` characters before that end, so
+consecutive pieces share exactly that many.
 
 Defined results: a text within the limit, null or empty gives no piece; repeated leaf rows and pages count once;
 missing pages are left out; ``end_page`` beyond the last page ends there; a limit that is missing from ``size_limits``
@@ -34,6 +35,8 @@ _KINDS = [
     re.compile(r"[,;:]\s+|[，；、：]\s*|\s[–—-]\s"),
     re.compile(r"\s+"),
 ]
+#: So many kinds are boundaries of their own; the others serve where there are none.
+NATURAL = 3
 _WORD = re.compile(r"[一-鿿]|[^\W_]+")
 
 
@@ -81,19 +84,28 @@ def cut(text: str | None, limit: int, overlap: int) -> list[tuple[int, int]]:
         return []
     overlap = max(0, min(overlap, limit - 1))
     cohesion = Cohesion(text)
-    marks = [[m.end() for m in kind.finditer(text)] for kind in _KINDS]
+    kinds = {}
+    for rank, kind in enumerate(_KINDS[:NATURAL]):
+        for m in kind.finditer(text):
+            kinds.setdefault(m.end(), rank)
+    natural = sorted(kinds)
+    depth = dict(zip(natural, depths([cohesion.at(p) for p in natural])))
+    lesser = [[m.end() for m in kind.finditer(text)] for kind in _KINDS[NATURAL:]]
     pieces, begin = [], 0
     while len(text) - begin > limit:
         low, high = begin + max(overlap + 1, limit // 2), begin + limit
-        for ends in marks:
-            places = ends[bisect_left(ends, low) : bisect_right(ends, high)]
-            if places:
-                break
+        places = natural[bisect_left(natural, low) : bisect_right(natural, high)]
+        if places:
+            end = max(places, key=lambda p: (round(depth[p], 9), -kinds[p], p))
         else:
-            places = list(range(low, high + 1, max(1, limit // 40)))
-        scores = depths([cohesion.at(p) for p in places])
-        best = max(range(len(places)), key=lambda i: (round(scores[i], 9), places[i]))
-        end = places[best]
+            for ends in lesser:
+                places = ends[bisect_left(ends, low) : bisect_right(ends, high)]
+                if places:
+                    break
+            else:
+                places = list(range(low, high + 1, max(1, limit // 40)))
+            scores = depths([cohesion.at(p) for p in places])
+            end = places[max(range(len(places)), key=lambda i: (round(scores[i], 9), places[i]))]
         pieces.append((begin, end))
         begin = end - overlap
     pieces.append((begin, len(text)))

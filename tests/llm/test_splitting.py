@@ -65,3 +65,14 @@ def test_empty(spark):
     assert S.found(leaves.limit(0), pages, limits).count() == 0
     assert {r.field for r in S.found(leaves, pages.limit(0), limits).collect()} == {"summary"}
     assert S.found(leaves, pages, limits.limit(0)).count() == 0
+
+
+def test_the_deepest_valley_wins_over_a_paragraph_break():
+    text = TOPICS[0] * 5 + "\n\n" + TOPICS[0] * 3 + TOPICS[1] * 9
+    border = len(TOPICS[0]) * 8 + 2
+    assert S.cut(text, 900, 0)[0][1] == border
+
+
+def test_the_kind_of_mark_decides_between_equal_depths():
+    text = ("same words again. " * 20).strip() + "\n\n" + ("same words again. " * 60).strip()
+    assert S.cut(text, 600, 0)[0][1] == text.index("\n\n") + 2
