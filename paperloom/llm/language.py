@@ -3,7 +3,8 @@
 Model: sparse multinomial logistic regression on TF-IDF weighted character n-grams (1 to 4, hashed), trained by the
 follow-the-regularised-leader proximal update with L1 and L2 penalties, then calibrated by one temperature on held-out
 sentences. The inverse document frequencies come from all records. The training sentences come from at most
-``PER_LANGUAGE`` records for each label (those with the smallest hash of their id), the only bounded sample here; a
+``PER_LANGUAGE`` records for each label (those with the smallest hash of their id) and at most ``PER_RECORD`` sentences
+of each, the only bounded sample here; a
 first model drops sentences that contradict their record's label, since labels are noisy and records mixed.
 
 A record is cut into sentences (code, formulas and markup aside); each sentence is classified by itself, and neighbours
@@ -228,21 +229,21 @@ def train(records: DataFrame) -> Model:
 
 
 def segment(record_sentences: list[str], p: np.ndarray) -> list[tuple[str, float, int, str]]:
-    """(language, confidence, number of sentences, text) of the stretches; the confidence is that of the surest sentence."""
+    """(language, confidence, number of sentences, text) of the stretches; the confidence is the calibrated probability of its language, averaged over its sure sentences by their letters."""
     out: list[list] = []
     for s, row in zip(record_sentences, p):
-        k = int(row.argmax())
-        sure = row[k] >= SURE and weight(s) >= LEAST
-        if out and (not sure or out[-1][0] == LANGUAGES[k]):
-            if sure:
-                out[-1][1] = max(out[-1][1], float(row[k]))
-            out[-1][2] += 1
-            out[-1][3] += " " + s
-        else:
-            out.append([LANGUAGES[k], float(row[k]) if sure else 0.0, 1, s])
-            if not sure and len(record_sentences) == 1:
-                out[-1][1] = float(row[k])
-    return [tuple(x) for x in out]
+        k, letters = int(row.argmax()), weight(s)
+        sure = row[k] >= SURE and letters >= LEAST
+        if not out or (sure and out[-1][0] != LANGUAGES[k]):
+            out.append([LANGUAGES[k], 0.0, 0.0, 0, []])
+        if sure:
+            out[-1][1] += letters * float(row[k])
+            out[-1][2] += letters
+        out[-1][3] += 1
+        out[-1][4].append(s)
+    if len(record_sentences) == 1 and not out[0][2]:
+        out[0][1:3] = float(p[0].max()), 1.0
+    return [(lang, mass / total if total else 0.0, n, " ".join(texts)) for lang, mass, total, n, texts in out]
 
 
 def segments(records: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from paperloom.llm import language as L
 
 SAMPLE = {
@@ -65,3 +67,27 @@ def test_sentences():
     assert L.sentences("We go. / They stay.\n- first\n2. second\n> said.") == ["We go.", "They stay.", "first", "second", "said."]
     assert L.sentences("$x = 1$ and ```code```") == ["and"]
     assert L.sentences(None) == [] and L.sentences("123 ...") == []
+
+
+def test_confidence_of_a_segment_is_that_of_its_sure_sentences():
+    p = np.full((4, 6), 0.01)
+    p[0, 0], p[1, 0], p[2, 2], p[3, 1] = 0.9, 0.6, 0.8, 0.3
+    lines = ["Ten letters", "Twenty letters or more", "Zehn Buchstaben", "hm"]
+    out = L.segment(lines, p)
+    assert [(s[0], s[2]) for s in out] == [("en", 2), ("de", 2)]
+    a, b = L.weight(lines[0]), L.weight(lines[1])
+    assert abs(out[0][1] - (0.9 * a + 0.6 * b) / (a + b)) < 1e-9 and abs(out[1][1] - 0.8) < 1e-9
+    assert L.segment([], p[:0]) == [] and L.segment(["hm"], p[3:])[0][1] == 0.3
+
+
+def test_confidence_is_calibrated_on_held_out_sentences():
+    """On sentences of other topics the mean confidence lies near the share of right answers."""
+    model = L.Model(np.concatenate([np.zeros(L.DIM, np.int64), [1]]))
+    train = [(s, k) for k, lang in enumerate(L.LANGUAGES) for s in SAMPLE[lang][:3]]
+    held = [(s, k) for k, lang in enumerate(L.LANGUAGES) for s in SAMPLE[lang][3:]]
+    texts, labels = [s for s, _ in train] * 10, np.array([k for _, k in train] * 10)
+    model.fit(texts, labels)
+    model.calibrate([s for s, _ in held], np.array([k for _, k in held]))
+    p = model.probabilities([s for s, _ in held])
+    right = (p.argmax(1) == np.array([k for _, k in held])).mean()
+    assert right > 0.8 and abs(p.max(1).mean() - right) < 0.2
