@@ -117,7 +117,8 @@ _PACKED = _ITEM + ", bin long, part_bins long, part_bound long"
 
 
 def capacities(size_limits: DataFrame) -> dict[str, int]:
-    rows = size_limits.where(F.col("limit_name").startswith("pack_") & (F.col("max_size") > 0)).groupBy("limit_name").agg(F.min("max_size")).limit(100).collect()
+    """Capacity of every pack of the limits table (a configuration, one row per pack name comes to the driver); none is left out."""
+    rows = size_limits.where(F.col("limit_name").startswith("pack_") & (F.col("max_size") > 0)).groupBy("limit_name").agg(F.min("max_size")).collect()
     return {r[0]: int(r[1]) for r in rows}
 
 

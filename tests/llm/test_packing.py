@@ -75,3 +75,8 @@ def test_every_token_once(spark, part_items):
 def test_empty(spark):
     docs, limits = tables(spark, ["a"])
     assert P.pack(docs.limit(0), limits).count() == 0 and P.pack(docs, limits.limit(0)).count() == 0
+
+
+def test_no_pack_is_left_out(spark):
+    limits = spark.createDataFrame([(f"pack_{i:03d}", 100 + i) for i in range(130)], "limit_name string, max_size int")
+    assert len(P.capacities(limits)) == 130
