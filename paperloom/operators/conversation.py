@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hot import neighbourly, ranked
 
-def in_order() -> Window:
-    """Order of a conversation's messages; equal times by id, then by content, so that repeated rows have a fixed place too."""
-    return Window.partitionBy("conversation_id").orderBy("timestamp", "id", "role", "content")
+#: The order of a conversation's messages; equal times by id, then by content, so that repeated rows have a fixed place too.
+ORDER = ("timestamp", "id", "role", "content")
+
+
+def in_places(messages: DataFrame, name: str = "position", **options: int) -> DataFrame:
+    """``messages`` with their place in their conversation, of any length."""
+    return ranked(messages, "conversation_id", "timestamp", [F.col(c) for c in ORDER], name, **options)
+
+
+def looking_back(messages: DataFrame, back: int, **options: int) -> tuple[DataFrame, Window]:
+    """(rows, window): a window over these rows sees up to ``back`` rows before each; keep those with ``_guest = 0`` afterwards."""
+    rows = neighbourly(in_places(messages, "_place", **options), "_place", back)
+    return rows, Window.partitionBy("conversation_id", "_block").orderBy("_place")
 
 
 def placed_messages(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """One row per message of a known conversation with its position and the number of messages; conversations without any keep one row with nulls."""
     per = messages.groupBy("conversation_id").agg(F.count("*").alias("n_messages"))
-    placed = messages.withColumn("position", F.row_number().over(in_order()))
+    placed = in_places(messages)
     heads = conversations.select(F.col("id").alias("conv_id"), "title").distinct()
     out = heads.join(placed, heads.conv_id == placed.conversation_id, "left").drop("conversation_id")
     return out.join(per, out.conv_id == per.conversation_id, "left").select("conv_id", "title", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), "position", "id", "role", "content", "timestamp")
@@ -39,9 +50,27 @@ def transcripts(messages: DataFrame, n: int) -> DataFrame:
 
 def history_before(messages: DataFrame, n: int = 3) -> DataFrame:
     """Each message with the ``n`` before it as lines, and whether there are enough of them to rewrite a question."""
-    w = in_order()
+    rows, w = looking_back(messages, n)
     before = [F.lag(line(), k).over(w) for k in range(n, 0, -1)]
-    return messages.select("conversation_id", "id", "timestamp", F.concat_ws("\n", *before).alias("history"), sum(b.isNotNull().cast("int") for b in before).alias("n_history")).withColumn("rewrite", F.col("n_history") >= 2)
+    out = rows.select("conversation_id", "id", "timestamp", "_guest", F.concat_ws("\n", *before).alias("history"), sum(b.isNotNull().cast("int") for b in before).alias("n_history"))
+    return out.where("_guest = 0").drop("_guest").withColumn("rewrite", F.col("n_history") >= 2)
+
+
+def up_to(messages: DataFrame, ends: DataFrame) -> DataFrame:
+    """Messages of the conversations in ``ends`` (conversation_id, end: struct of timestamp and id), up to that message: what was said when it was asked."""
+    return messages.join(ends.select("conversation_id", "end"), "conversation_id").where(F.struct("timestamp", "id") <= F.col("end")).drop("end")
+
+
+def containing(conversations: DataFrame, paper_id: Column) -> DataFrame:
+    """Conversations that name the paper."""
+    return conversations.where(F.array_contains("paper_ids", paper_id))
+
+
+def newest_per_paper(conversations: DataFrame) -> DataFrame:
+    """(paper_id, id): the first conversation that a paper's list shows, the newest."""
+    named = conversations.select("id", "created_at", F.explode("paper_ids").alias("paper_id"))
+    first = F.min(F.struct(F.col("created_at").isNull().alias("none"), (-F.col("created_at")).alias("back"), "id"))
+    return named.groupBy("paper_id").agg(first["id"].alias("id"))
 
 
 def conversations_per_paper(conversations: DataFrame, papers: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 
 STATUS_LABELS = {"unread": "Unread", "reading": "Reading", "done": "Done"}
+#: Stages of an import in order, with their labels; a failure ends it at any stage.
+STAGES = ("pending", "parsing", "saving", "done")
+STAGE_LABELS = {"pending": "Waiting", "parsing": "Reading the file", "saving": "Saving", "done": "Done", "error": "Failed"}
 
 
 def listed_collections(kbs: DataFrame) -> DataFrame:
@@ -22,6 +25,20 @@ def collection_successor(kbs: DataFrame) -> DataFrame:
     return kbs.select("id", F.coalesce(F.lead("id").over(order), first).alias("next_id"))
 
 
+def successor_of(requests: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(request, next_id): the collection after the asked one (column kb_id); an unknown one is followed by the first of the list."""
+    first = kbs.agg(F.min(F.struct("created_at", "id"))["id"].alias("_first"))
+    after = collection_successor(kbs).select(F.col("id").alias("kb_id"), "next_id")
+    return requests.join(after, "kb_id", "left").join(first, F.lit(True), "left").select("request", F.coalesce("next_id", "_first").alias("next_id"))
+
+
+def newest_first(df: DataFrame, time: str, then: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with its place in a list that shows the newest first, rows without a time last."""
+    known = F.col(time).isNotNull()
+    day = F.when(known, -F.floor(F.col(time) / 86_400_000)).otherwise(F.lit(1 << 60))
+    return numbered(df, day, [F.desc_nulls_last(time), *then], name)
+
+
 def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Global row numbers without a global sort: numbers within buckets plus the sizes of the buckets before.
 
@@ -70,10 +87,28 @@ def indexed_ids(leaves: DataFrame) -> DataFrame:
     return leaves.where("paper_id is not null").select(F.col("paper_id").alias("id")).distinct()
 
 
-def badges(papers: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(id, badge): indexed or none."""
+def badges(papers: DataFrame, leaves: DataFrame, in_flight: DataFrame | None = None) -> DataFrame:
+    """(id, badge): indexed; indexing, where ``in_flight`` (ids) is given and no index is there yet; or none."""
     marked = indexed_ids(leaves).withColumn("_indexed", F.lit(True))
-    return papers.select("id").join(marked, "id", "left").select("id", F.when(F.col("_indexed"), "indexed").otherwise("none").alias("badge"))
+    out = papers.select("id").join(marked, "id", "left")
+    busy = F.lit(False)
+    if in_flight is not None:
+        out = out.join(in_flight.select("id").distinct().withColumn("_busy", F.lit(True)), "id", "left")
+        busy = F.coalesce("_busy", F.lit(False))
+    return out.select("id", F.when(F.col("_indexed"), "indexed").when(busy, "indexing").otherwise("none").alias("badge"))
+
+
+def advanced(status: Column, failed: Column) -> Column:
+    """The stage after ``status``: the next one, or error; an ended import stays."""
+    out = status
+    for now, then in zip(STAGES, STAGES[1:]):
+        out = F.when((status == now) & failed, "error").when(status == now, then).otherwise(out)
+    return out
+
+
+def stage_label(status: Column) -> Column:
+    labels = F.create_map(*(F.lit(x) for pair in STAGE_LABELS.items() for x in pair))
+    return F.coalesce(labels[status], status)
 
 
 def toggled(array: str, element: Column) -> Column:
@@ -81,6 +116,11 @@ def toggled(array: str, element: Column) -> Column:
     return F.when(F.array_contains(array, element), F.array_remove(array, element)).otherwise(F.array_append(array, element))
 
 
+def added_to(array: str, element: Column) -> Column:
+    """The array as a set that holds the element."""
+    return F.array_union(F.coalesce(array, F.array().cast("array<string>")), F.array(element))
+
+
 def deletable(kbs: DataFrame) -> DataFrame:
     return kbs.where(F.col("id") != "default")
 

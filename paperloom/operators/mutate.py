@@ -19,6 +19,16 @@ def inserted(table: DataFrame, rows: DataFrame, key: str, parent: DataFrame | No
     return table.unionByName(fresh.select(*table.columns))
 
 
+def stamped(rows: DataFrame, time: str) -> DataFrame:
+    """New rows with a fresh id and the present time in milliseconds; not repeatable, so write the result before reading it twice."""
+    return rows.withColumn("id", F.expr("uuid()")).withColumn(time, F.unix_millis(F.current_timestamp()))
+
+
+def papers_added(papers: DataFrame, rows: DataFrame, kbs: DataFrame) -> DataFrame:
+    """``papers`` with new ones of known collections; what a row carries beyond the table's columns (the file's bytes) is not stored."""
+    return inserted(papers, rows, "id", kbs, "knowledge_base_id")
+
+
 def upserted(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``rows`` replace those of the same key."""
     return table.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows.select(*table.columns))

@@ -98,7 +98,7 @@ def answers(conversations: DataFrame, messages: DataFrame, leaves: DataFrame, pa
     from paperloom.functions.model_call import model_column, offline_reply
     from paperloom.session import cut_lineage
 
-    from .conversation import history_before, transcripts
+    from .conversation import history_before, transcripts, up_to
 
     model = model or offline_reply
 
@@ -107,7 +107,7 @@ def answers(conversations: DataFrame, messages: DataFrame, leaves: DataFrame, pa
         return cut_lineage(df.withColumn(reply, model_column(model)(F.col("prompt"))).drop("prompt"))
 
     asked = messages.where((F.lower(F.trim("role")).isin("user", "human")) & F.col("content").isNotNull() & F.col("conversation_id").isNotNull())
-    last = asked.groupBy("conversation_id").agg(F.max(F.struct("timestamp", "id", "content")).alias("m")).select("conversation_id", F.col("m.id").alias("id"), F.col("m.content").alias("question"))
+    last = asked.groupBy("conversation_id").agg(F.max(F.struct("timestamp", "id", "content")).alias("m")).select("conversation_id", F.col("m.id").alias("id"), F.col("m.content").alias("question"), F.struct("m.timestamp", "m.id").alias("end"))
     history = history_before(messages).groupBy("conversation_id", "id").agg(F.max(F.struct("rewrite", "history")).alias("h"))
     turns = last.join(history, ["conversation_id", "id"]).select("conversation_id", "question", "h.rewrite", "h.history")
     known = conversations.select(F.col("id").alias("conversation_id"), "paper_ids").dropDuplicates(["conversation_id"])
@@ -119,6 +119,7 @@ def answers(conversations: DataFrame, messages: DataFrame, leaves: DataFrame, pa
     pairs = known.select("conversation_id", F.posexplode("paper_ids").alias("pos", "paper_id")).join(turns, "conversation_id")
     if not only_indexed:
         missing = missing_index(pairs.select(F.col("paper_id").alias("id")), leaves).withColumnRenamed("id", "paper_id")
+        # the index that a first question builds; a paper without pages gets no leaf and stays out of the context
         unread = cut_lineage(pages.join(missing, "paper_id", "left_semi"))
         if not unread.isEmpty():
             built = cut_lineage(build_index(unread, model)[1])
@@ -132,6 +133,14 @@ def answers(conversations: DataFrame, messages: DataFrame, leaves: DataFrame, pa
     contexts = contexts.groupBy("paper_id", "query").agg(T.ordered_join(["start_page", "rank"], "text", PAPER_BREAK).alias("context"), T.ordered_join(["start_page", "rank"], "label", " | ").alias("sources"))
     gathered = pairs.join(contexts, keys).groupBy("conversation_id").agg(T.ordered_join(["pos"], "context", PAPER_BREAK).alias("context"), T.ordered_join(["pos"], "sources", " | ").alias("sources"))
     gathered = turns.select("conversation_id", "question", "query").join(gathered, "conversation_id", "inner" if only_indexed else "left").fillna("", ["context", "sources"])
-    window = transcripts(messages, 20)
+    window = transcripts(up_to(messages, last.select("conversation_id", "end")), 20)
     ready = gathered.join(window, "conversation_id").withColumn("prompt", F.concat(system_message(F.lit(system), F.col("context")), F.lit("\n\n"), "transcript"))
     return replied(ready.select("conversation_id", "question", "query", F.length("context").alias("context_chars"), "sources", "prompt"), "reply")
+
+
+def exchanged(replies: DataFrame, now: int) -> DataFrame:
+    """The rows that an answered question adds to ``messages``: the assistant's message with its sources; the user's stands there already, stored before the model is asked."""
+    said = F.filter(F.split("sources", r" \| "), lambda x: x != "")
+    return replies.where("reply is not null").select(
+        F.concat(F.lit("reply-"), F.md5(F.concat_ws("|", "conversation_id", "question"))).alias("id"), "conversation_id", F.lit("assistant").alias("role"), F.col("reply").alias("content"), said.alias("sources"), F.lit(now).cast("bigint").alias("timestamp")
+    )

@@ -86,8 +86,11 @@ def described(replies: DataFrame, default_title: str) -> DataFrame:
     return replies.withColumn("_p", parsed).withColumn("title", T.filled(F.col("_p.title"), F.col(default_title))).withColumn("summary", F.coalesce("_p.summary", F.lit(""))).drop("_p")
 
 
-def build_index(pages: DataFrame, model=None) -> tuple[DataFrame, DataFrame]:
-    """(roots, leaves) of all papers with pages: one model call per leaf, one more per paper with several leaves."""
+def build_index(pages: DataFrame, model=None, papers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(roots, leaves) of all papers with pages: one model call per leaf, one more per paper with several leaves.
+
+    A paper of ``papers`` (column id) without any page gets a root that ends at page -1 and has no leaves, by one call.
+    """
     from paperloom.functions.model_call import offline_reply, with_reply
 
     model = model or offline_reply
@@ -97,7 +100,10 @@ def build_index(pages: DataFrame, model=None) -> tuple[DataFrame, DataFrame]:
     leaves = leaves.select("paper_id", "leaf_no", "title", "summary", "start_page", "end_page")
     entry = F.concat(F.lit("["), (F.col("leaf_no") + 1).cast("string"), F.lit("] "), "title", F.lit(": "), "summary")
     per = leaves.withColumn("entry", entry).groupBy("paper_id").agg(F.count("*").cast("int").alias("n_leaves"), T.ordered_join(["leaf_no"], "entry", "\n").alias("listing"), F.max("end_page").alias("end_page"), F.min_by("title", "leaf_no").alias("only_title"), F.min_by("summary", "leaf_no").alias("only_summary"))
-    several = per.where("n_leaves > 1").withColumn("prompt", F.concat(F.lit("Outline a paper with these sections.\n"), "listing", F.lit("\nAnswer with a JSON object holding title and summary."))).withColumn("label", F.lit("Paper"))
+    if papers is not None:
+        bare = papers.select(F.col("id").alias("paper_id")).where("paper_id is not null").distinct().join(per.select("paper_id"), "paper_id", "left_anti")
+        per = per.unionByName(bare.select("paper_id", F.lit(0).alias("n_leaves"), F.lit("").alias("listing"), F.lit(-1).alias("end_page")), allowMissingColumns=True)
+    several = per.where("n_leaves != 1").withColumn("prompt", F.concat(F.lit("Outline a paper with these sections.\n"), "listing", F.lit("\nAnswer with a JSON object holding title and summary."))).withColumn("label", F.lit("Paper"))
     roots = described(with_reply(several, "prompt", "reply", model), "label").select("paper_id", "title", "summary", F.lit(0).alias("start_page"), "end_page", "n_leaves")
     single = per.where("n_leaves = 1").select("paper_id", F.col("only_title").alias("title"), F.col("only_summary").alias("summary"), F.lit(0).alias("start_page"), "end_page", "n_leaves")
     return roots.unionByName(single), leaves

@@ -14,6 +14,18 @@ def setting(settings: DataFrame, key: str) -> DataFrame:
     return settings.where(F.col("key") == key).select("value")
 
 
+def decoded(settings: DataFrame, key: str) -> DataFrame:
+    """The value of a setting decoded from its JSON text: a string or number as plain text, a list or object as JSON; no row for an unknown key."""
+    return setting(settings, key).select(F.try_variant_get(F.try_parse_json("value"), "$", "string").alias("value"))
+
+
+def repointed(selections: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, profile_id) with every selection whose profile is gone, or that was never made, moved to the first profile."""
+    first = known.agg(F.min_by("id", "pos").alias("_first"))
+    there = known.select(F.col("id").alias("profile_id"), F.lit(True).alias("_there"))
+    return selections.join(there, "profile_id", "left").join(first, F.lit(True), "left").select("name", F.when(F.col("_there"), F.col("profile_id")).otherwise(F.col("_first")).alias("profile_id"))
+
+
 def profiles(settings: DataFrame, key: str = "llm_profiles") -> DataFrame:
     """(pos, profile fields) of the saved list."""
     return setting(settings, key).select(F.posexplode(F.from_json("value", f"array<{PROFILE}>")).alias("pos", "p")).select("pos", "p.*")

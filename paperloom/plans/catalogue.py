@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import change_queries, conversation_queries, library_queries, section_queries
+from . import change_queries, conversation_queries, library_queries, lookup_queries, section_queries
 from .registry import Query
 
-MODULES = (library_queries, conversation_queries, section_queries, change_queries)
+MODULES = (library_queries, conversation_queries, section_queries, change_queries, lookup_queries)
 
 
 def queries() -> dict[str, Query]:

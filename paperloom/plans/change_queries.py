@@ -34,6 +34,12 @@ def children(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, d, t) for t in ("paper_pages", "section_roots", "section_leaves")}
 
 
+def highlights(spark: SparkSession, d: str) -> DataFrame:
+    """Section titles as marked passages, of which the test data has none."""
+    leaves = read_table(spark, d, "section_leaves").where("paper_id is not null")
+    return leaves.select(F.concat("paper_id", F.lit("#"), F.col("leaf_no").cast("string")).alias("id"), "paper_id").distinct()
+
+
 @query(
     "q_paper_patch",
     f"""SELECT id, CASE WHEN {HIT} THEN 'Patched ' || id ELSE title END AS title, abstract, CASE WHEN {HIT} THEN 'done' ELSE status END AS status, file_name, added_at,
@@ -217,14 +223,10 @@ def links_checked(messages: DataFrame) -> DataFrame:
     return messages.select("id", "timestamp", T.allowed_url(F.col("content")).alias("allowed"), (T.trimmed(F.coalesce("content", F.lit(""))) != "").alias("sendable"))
 
 
-@query("q_link_check", "SELECT id, timestamp, regexp_matches(lower(coalesce(content, '')), '^https?:') AS allowed, trim(coalesce(content, ''), E' \\t\\n\\r') <> '' AS sendable FROM messages WHERE content IS NULL OR NOT regexp_matches(content, '[^\\x00-\\x7F]')")
-def q_link_check(spark: SparkSession, d: str) -> DataFrame:
-    """The part of ``q_link_check_all`` that its SQL covers: it knows ASCII white space only, so both sides keep to ASCII texts."""
-    messages = read_table(spark, d, "messages")
-    return links_checked(messages.where(F.col("content").isNull() | ~F.col("content").rlike(r"[^\x00-\x7F]")))
+#: White space in the wide sense as DuckDB's pattern language writes it.
+WIDE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
-@query("q_link_check_all")
-def q_link_check_all(spark: SparkSession, d: str) -> DataFrame:
-    """All messages, with white space in the wide sense; without SQL."""
+@query("q_link_check", f"SELECT id, timestamp, regexp_matches(lower(coalesce(content, '')), '^https?:') AS allowed, NOT regexp_full_match(coalesce(content, ''), '{WIDE}*') AS sendable FROM messages")
+def q_link_check(spark: SparkSession, d: str) -> DataFrame:
     return links_checked(read_table(spark, d, "messages"))

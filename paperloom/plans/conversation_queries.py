@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import conversation as C
+from paperloom.operators.hot import ranked
 from paperloom.operators.library import numbered
 from paperloom.sources import read_table
 
@@ -57,8 +58,10 @@ def q_rewrite_gate(spark: SparkSession, d: str) -> DataFrame:
         WINDOW w AS (PARTITION BY conversation_id ORDER BY {ORDER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
 )
 def q_prompt_window(spark: SparkSession, d: str) -> DataFrame:
-    w = C.in_order().rowsBetween(-19, 0)
-    return read_table(spark, d, "messages").select("conversation_id", "id", "timestamp", F.count("*").over(w).alias("turns"), F.sum(F.length(F.coalesce("content", F.lit("")))).over(w).alias("characters"))
+    rows, order = C.looking_back(read_table(spark, d, "messages"), 19)
+    w = order.rowsBetween(-19, 0)
+    out = rows.select("conversation_id", "id", "timestamp", "_guest", F.count("*").over(w).alias("turns"), F.sum(F.length(F.coalesce("content", F.lit("")))).over(w).alias("characters"))
+    return out.where("_guest = 0").drop("_guest")
 
 
 @query(
@@ -100,12 +103,10 @@ def q_last_message(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_paper_conv_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Conversations numbered per paper, and the number the next one gets."""
-    from pyspark.sql import Window
-
     named = read_table(spark, d, "conversations").select("id", "title", "created_at", F.explode("paper_ids").alias("paper_id")).distinct()
-    order = Window.partitionBy("paper_id").orderBy(F.asc_nulls_first("created_at"), "id", F.asc_nulls_first("title"))
     per = named.groupBy("paper_id").agg((F.count("*") + 1).alias("next_number"))
-    return named.withColumn("number", F.row_number().over(order)).join(per, "paper_id").select("paper_id", "id", "number", "next_number")
+    placed = ranked(named, "paper_id", "created_at", [F.col("created_at"), F.col("id"), F.col("title")], "number")
+    return placed.join(per, "paper_id").select("paper_id", "id", "number", "next_number")
 
 
 @query("q_message_previews", "SELECT id, timestamp, substring(coalesce(content, ''), 1, 40) || CASE WHEN length(coalesce(content, '')) > 40 THEN '…' ELSE '' END AS preview, coalesce(len(sources), 0) AS n_sources FROM messages")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import library as L
+from paperloom.operators.hot import ranked
 from paperloom.sources import read_table
 
 from .registry import Registry
@@ -30,10 +31,8 @@ def q_kb_list(spark: SparkSession, d: str) -> DataFrame:
        row_number() OVER (PARTITION BY knowledge_base_id ORDER BY added_at DESC, id, status, title NULLS FIRST) AS position FROM papers""",
 )
 def q_paper_list(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("knowledge_base_id").orderBy(F.desc("added_at"), "id", "status", F.asc_nulls_first("title"))
-    return read_table(spark, d, "papers").select("id", "knowledge_base_id", "title", joined("authors"), joined("tags"), "status", "file_name", "added_at", F.row_number().over(order).alias("position"))
+    papers = read_table(spark, d, "papers").select("id", "knowledge_base_id", "title", joined("authors"), joined("tags"), "status", "file_name", "added_at", (-F.col("added_at")).alias("age"))
+    return ranked(papers, "knowledge_base_id", "age", [F.col("age"), F.col("id"), F.col("status"), F.col("title")], "position").drop("age")
 
 
 @query(

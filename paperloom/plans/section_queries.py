@@ -160,12 +160,6 @@ def q_manual_context(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.length(R.system_message(F.lit("You help."), F.col("final"))).cast("bigint").alias("system_length"), F.md5("final").alias("context_md5"))
 
 
-@query("q_leaf_summaries")
-def q_leaf_summaries(spark: SparkSession, d: str) -> DataFrame:
-    """Roots of freshly built indexes, titles and summaries by the offline stand-in for a model."""
-    return S.build_index(pages_of(spark, d))[0]
-
-
 @query("q_answer_pipeline")
 def q_answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return R.answers(read_table(spark, d, "conversations"), read_table(spark, d, "messages"), stored_leaves(spark, d), pages_of(spark, d))

@@ -25,5 +25,10 @@ def bundle(tables: dict[str, DataFrame], redact: bool = True) -> DataFrame:
     return out
 
 
+def backup_name(millis: F.Column) -> F.Column:
+    """File name of a backup made at a time."""
+    return F.concat(F.lit("paperloom-backup-"), millis.cast("string"), F.lit(".json"))
+
+
 def bundle_counts(exported: DataFrame) -> DataFrame:
     return exported.groupBy("section").agg(F.count("*").alias("rows"))

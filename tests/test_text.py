@@ -52,5 +52,5 @@ def test_links_of_all_messages(spark, tmp_path):
     texts = {"zh": "你好", "ru": "Привет", "wide": "\u3000\u00a0\ufeff", "ascii": " \t\n", "null": None, "link": "HTTPS://пример.рф", "file": "file:///é"}
     rows = [(k, "c", "user", t, None, 1) for k, t in texts.items()]
     spark.createDataFrame(rows, TABLES["messages"]).write.parquet(f"{tmp_path}/messages.parquet")
-    got = {r.id: (r.allowed, r.sendable) for r in entry.queries()["q_link_check_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: (r.allowed, r.sendable) for r in entry.queries()["q_link_check"](spark, str(tmp_path)).collect()}
     assert got == {"zh": (False, True), "ru": (False, True), "wide": (False, False), "ascii": (False, False), "null": (False, False), "link": (True, True), "file": (False, True)}
