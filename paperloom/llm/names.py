@@ -6,9 +6,11 @@ joins follow, all on keys:
 1. *Token q-grams.* Tokens whose padded 2-gram sets overlap in all but three grams can be one typing error apart
    (an error touches at most three). Grams are ordered by rarity; sets with that overlap share a gram among the four
    rarest of each (prefix filter), so only those prefixes are joined, and the survivors are checked for one edit.
-2. *Spellings.* Two spellings meet if they share two tokens, up to typing variants and short forms, or if the anchor of
-   one, its rarest token (document frequency summed over typing variants), is a variant of a token of the other and they
-   share an initial.
+2. *Spellings.* The tokens of a spelling are ordered by weight. What stays unmatched in a pair may weigh no more than
+   1 - ``THRESHOLD`` of a side, so a token of the *prefix* - the heaviest tokens up to more than that share - has to be
+   matched: only prefix tokens (with typing variants and the formal names of short forms) are joined, with all tokens of
+   the other spelling, and together with a second token, or an initial, that both have. The first letter of a
+   spelled-out token meets initials only, so two spelled-out names never meet because of a common surname and letter.
 3. *Soft weighted token similarity.* Tokens are matched with weights by rarity: equal 1, typing variant 0.92, nickname or
    abbreviation 0.95, initial 0.9 of the weight of the spelled-out token. A pair holds if the matched weight reaches
    ``THRESHOLD`` of the larger side and not both sides keep a spelled-out token unmatched.
@@ -271,35 +273,39 @@ def linked(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("token", F.log(F.lit(1.0 + total) / (F.col("df") + F.col("more"))).alias("weight"))
     )
     soft = soft.withColumn("weight", F.greatest("weight", F.lit(0.1)))
-    weighted = tokens.join(soft, "token").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"), F.max(F.struct("weight", F.length("token").alias("l"), "token"))["token"].alias("anchor"))
+    weighted = tokens.join(soft, "token").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
     known = cut_lineage(known.join(weighted, "name"))
 
-    # second keys: a spelled-out token (formal names of short forms too), or an initial that meets an initial or a first letter
-    formal = F.create_map(*(F.lit(x) for s, names in FORMAL.items() for x in (s, ",".join(sorted(names)))))
-    others = F.filter("full", lambda t: t != F.col("anchor"))
+    # the prefix: the heaviest tokens, until what is left weighs no more than may stay unmatched
+    before = Window.partitionBy("name").orderBy(F.desc("weight"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    share = tokens.join(soft, "token").withColumn("heavier", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    share = share.withColumn("total", F.sum("weight").over(Window.partitionBy("name")))
+    prefix = share.where(F.col("heavier") <= (1 - THRESHOLD) * F.col("total")).groupBy("name").agg(F.collect_list("token").alias("prefix"))
+
+    # one row per token of a spelling, with the other tokens: as it stands, as the formal names of a short form, and two neighbours as one word
+    none = F.array().cast("array<string>")
+    formal = F.create_map(*(F.lit(x) for short, names in FORMAL.items() for x in (short, ",".join(sorted(names)))))
+    forms = lambda t: F.array_union(F.array(t), F.split(F.coalesce(formal[t], t), ","))
     compounds = F.expr("transform(sequence(1, greatest(size(full) - 1, 1)), i -> concat(full[i - 1], coalesce(get(full, i), '')))")
-    named = F.flatten(F.transform(others, lambda t: F.array_union(F.array(t), F.split(F.coalesce(formal[t], t), ","))))
-    first = F.transform(named, lambda t: F.concat(F.lit("#"), F.substring(t, 1, 1)))
-    own_initials = F.transform("initials", lambda i: F.concat(F.lit("#"), i))
-    named = F.array_union(named, compounds)
-    single = F.when((F.size(others) == 0) & (F.size("initials") == 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    left = known.select("name", "anchor", F.explode(F.array_union(F.array_union(named, single), F.when(F.size("initials") > 0, own_initials).otherwise(F.array().cast("array<string>")))).alias("second"))
-    heads = left.join(variants.withColumnRenamed("token", "anchor"), "anchor").select("name", F.col("variant").alias("token"), "second").unionByName(left.select("name", F.col("anchor").alias("token"), "second"))
-    # the other tokens too, but only together with a spelled-out second one: a rare short form may have taken the anchor's place
-    spread = known.select("name", "full", "initials", F.explode(F.array_distinct("full")).alias("token"))
+    each = known.join(prefix, "name").select("name", "full", "initials", "prefix", F.explode(F.array_distinct(F.concat("full", F.when(F.size("full") > 1, compounds).otherwise(none)))).alias("token"))
     rest = F.filter("full", lambda t: t != F.col("token"))
-    rest_named = F.flatten(F.transform(rest, lambda t: F.array_union(F.array(t), F.split(F.coalesce(formal[t], t), ","))))
-    rest_named = F.array_union(rest_named, compounds)
-    also = spread.select("name", "token", F.explode(rest_named).alias("second"))
-    heads = heads.unionByName(also).unionByName(also.join(variants, "token").select("name", F.col("variant").alias("token"), "second"))
-    # seconds reach their typing variants as well
-    heads = heads.join(variants.toDF("second", "other"), "second").select("name", "token", F.col("other").alias("second")).unionByName(heads).distinct()
-    seconds = F.array_union(
-        F.array_union(rest_named, F.transform(rest_named, lambda t: F.concat(F.lit("#"), F.substring(t, 1, 1)))),
-        F.array_union(F.transform("initials", lambda i: F.concat(F.lit("#"), i)), F.when((F.size(rest) == 0) & (F.size("initials") == 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))),
+    named = F.array_union(F.flatten(F.transform(rest, forms)), F.when(F.size("full") > 2, compounds).otherwise(none))
+    named = F.when(F.array_contains("full", F.col("token")), F.array_union(named, F.when(F.size("full") > 1, compounds).otherwise(none))).otherwise(F.filter(named, lambda t: ~F.contains(F.col("token"), t)))
+    letters = F.transform(F.flatten(F.transform(rest, forms)), lambda t: F.concat(F.lit("#"), F.substring(t, 1, 1)))
+    own = F.transform("initials", lambda i: F.concat(F.lit("#"), i))
+    alone = F.when((F.size(rest) == 0) & (F.size("initials") == 0), F.array(F.lit(""))).otherwise(none)
+    # a second key that begins with '#' is an initial; marked 1 it comes from a spelled-out token, which meets initials only
+    marked = lambda keys, mark: F.transform(keys, lambda k: F.struct(k.alias("second"), F.lit(mark).alias("mark")))
+    seconds = F.concat(marked(F.array_distinct(named), 0), marked(F.array_distinct(own), 0), marked(F.array_distinct(letters), 1), marked(alone, 0))
+    keys = each.withColumn("k", F.explode(seconds)).select(
+        "name", (F.array_contains("prefix", F.col("token")) | ~F.array_contains("full", F.col("token"))).alias("heavy"), F.explode(forms(F.col("token"))).alias("token"), "k.second", "k.mark"
     )
-    tails = spread.select(F.col("name").alias("other"), "token", F.explode(seconds).alias("second"))
-    met = heads.join(tails, ["token", "second"]).where("name != other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    keys = cut_lineage(keys.groupBy("name", "token", "second", "mark").agg(F.bool_or("heavy").alias("heavy")))
+    heads = keys.where("heavy").drop("heavy")
+    heads = heads.unionByName(heads.join(variants, "token").select("name", F.col("variant").alias("token"), "second", "mark"))
+    heads = heads.unionByName(heads.join(variants.toDF("second", "other"), "second").select("name", "token", F.col("other").alias("second"), "mark")).distinct()
+    tails = keys.select(F.col("name").alias("other"), "token", "second", F.col("mark").alias("its"))
+    met = heads.join(tails, ["token", "second"]).where("name != other and mark + its < 2").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
     side = known.select("name", F.struct("full", "initials", "org").alias("p"), "weights")
     pairs = met.join(side.toDF("a", "pa", "wa"), "a").join(side.toDF("b", "pb", "wb"), "b")
 
@@ -317,7 +323,7 @@ def linked(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def entities(papers: DataFrame) -> DataFrame:
-    """(name, entity): every spelling with the entity it belongs to, named by one of its spellings."""
+    """(name, entity, links): every spelling with the entity it belongs to, named by one of its spellings, and the number of other spellings it is linked to directly."""
     known, links = linked(papers)
     short = known.where((F.size("full") == 1) & (F.size("initials") > 0)).select("name", F.concat_ws("", F.array_sort("initials")).alias("letters"))
     spelled = known.join(short, "name", "left_anti")
@@ -334,7 +340,9 @@ def entities(papers: DataFrame) -> DataFrame:
     loose = s.join(chosen, "name", "left_anti").join(fits.select(F.col("a").alias("name")).distinct(), "name", "left_anti")
     loose_links = links.join(loose.select(F.col("name").alias("a")), "a", "left_semi").join(loose.select(F.col("name").alias("b")), "b", "left_semi")
     undecided = s.join(chosen, "name", "left_anti").join(loose, "name", "left_anti").select("name", F.col("name").alias("root"))
-    return rooted.unionByName(chosen).unionByName(components(loose, loose_links, "name")).unionByName(undecided).select("name", F.col("root").alias("entity"))
+    every = rooted.unionByName(chosen).unionByName(components(loose, loose_links, "name")).unionByName(undecided)
+    degree = both.groupBy(F.col("a").alias("name")).agg(F.count("*").alias("links"))
+    return every.join(degree, "name", "left").select("name", F.col("root").alias("entity"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def found(papers: DataFrame) -> DataFrame:

@@ -78,3 +78,12 @@ def test_short_tokens(spark):
     df = spark.createDataFrame([("bao", 40), ("bo", 2), ("boa", 1), ("baao", 1), ("li", 30), ("lin", 25), ("bob", 40), ("bio", 1)], "token string, df long")
     got = {tuple(r) for r in N.token_variants(df).collect()}
     assert {("bao", "bo"), ("bao", "boa"), ("bao", "baao")} <= got and ("li", "lin") not in got and ("bo", "bob") not in got and ("bao", "bio") not in got
+
+
+def test_names_with_a_common_surname_and_letter_meet_only_where_they_may_match(spark):
+    given = ["Jaro", "Jelka", "Jorik", "Jutta", "Jasna", "Jolan", "Jimena", "Jadwiga", "Joachim", "Jost", "Jenö", "Judit"]
+    rows = [(f"p{i}", [f"{g} Wang"]) for i, g in enumerate(given)] + [("q", ["J. Wang"]), ("r", ["Jelka Wang", "Wang, Jelka", None, ""])]
+    papers = spark.createDataFrame(rows, "id string, authors array<string>")
+    assert {tuple(r) for r in N.found(papers).collect()} == {("Jelka Wang", "Wang, Jelka")}
+    links = {r.name: r.links for r in N.entities(papers).collect()}
+    assert links["J. Wang"] == len(given) + 1 and links["Jaro Wang"] == 1
