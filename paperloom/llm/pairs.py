@@ -6,8 +6,12 @@ vote patterns of all pairs, and a label is kept where its posterior exceeds ``CU
 injected defects in the tests). A pair may keep several labels; ``defect`` is the first of them in the order of
 ``DEFECTS``, which runs from what leaves nothing to judge to what needs a whole text.
 
+Two functions learn from the data: how refusals are worded (``Wording``, from a bounded sample and the other functions'
+votes, so it also finds refusals in words that no phrase lists), and how short an unended list item is when it was broken
+off (``item_lengths``, over all answers).
+
 Defined results: null or blank answers are ``empty``; a blank question has no language and cannot be copied; repeated
-message ids count once; very long texts are read whole.
+message ids count once; very long texts are read whole; with too few refusals to learn from the wording has no vote.
 """
 
 from __future__ import annotations
@@ -23,13 +27,17 @@ from pyspark.sql import functions as F
 
 from paperloom.session import cut_lineage
 
-from .conversations import normalised, once, placed
-from .labelmodel import Declared, LabelModel
+from .conversations import blank, clean_id, normalised, once, placed, speaker
 from .frames import plain
+from .labelmodel import Declared, LabelModel
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "wrong_language")
 CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "truncated": 0.5, "wrong_language": 0.5}
 LEAD_IN = 14
+#: Answers from which the wording of refusals is learned, hash buckets of its features, and how often one must be seen.
+SAMPLE, BUCKETS, LEAST_SEEN = 6_000, 1 << 15, 3
+#: Where the answers hold too few lists to measure, and the share of the measured length (``item_lengths``).
+ITEM_LENGTHS, SHORT = {False: 30.0, True: 10.0}, 0.6
 
 _CONTENT = re.compile(r"[^\W_]")
 _NOISE = re.compile(r"[\W_]+")
@@ -37,14 +45,20 @@ _TOKEN = re.compile(r"[一-鿿]|[^\W_]+")
 _FENCE = re.compile(r"```.*?```", re.S)
 _MATH = re.compile(r"\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$|\$[^$\n]+\$", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”’)]*\s+|(?<=[。！？])[”’]*|\n+")
+#: What names something: a number, a word with a capital inside, a capitalised word after a Chinese character or within a sentence.
+_SUBSTANCE = re.compile(r"\d|\b[A-Z][a-z]+[A-Z][a-z]+\b|[一-鿿][A-Z][a-z]{3,}|[a-z,] [A-Z][a-z]{4,}")
+_HAN = re.compile(r"[一-鿿]")
+_CYRILLIC = re.compile(r"[а-яё]", re.I)
+_LATIN = re.compile(r"[a-zà-ÿ]", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
 _END = re.compile(r"[.!?…。！？][\"”’»」』)\]*_`]*$")
 
 # Phrases by which a reading assistant declines, in the languages of the data.
 DECLINE = re.compile(
     r"\b(?:i|we)(?:'m| am| are)? (?:not able|unable|not allowed|not permitted|obliged to decline)\b"
-    r"|\b(?:i|we) (?:can ?not|can['’]t|won['’]t|will not|must|have to|would rather not|don['’]t feel|do not feel|am not|prefer not|shall not|may not)\b.*\b(?:help|assist|answer|provide|decline|pass on|discuss|comment|go into|comfortable|able|share|respond|comply|do that|do this)"
+    r"|\b(?:i|we) (?:can ?not|can['’]t|won['’]t|will not|would rather not|don['’]t feel|do not feel|am not|prefer not|shall not|may not)\b.*\b(?:help|assist|answer|provide|decline|pass on|discuss|comment|go into|comfortable|able|share|respond|comply|do that|do this)"
     r"|\b(?:i|we|must|have to|has to|will|would|shall|respectfully)\b.{0,25}\b(?:decline|refuse)\b|\bnot able to answer\b|\b(?:would |['’]d )?(?:rather|prefer) not\b|\b(?:leave|leaving|left|remains?|stays?|go|goes)\b.{0,80}\bunanswered\b"
+    r"|\b(?:i|we) (?:must|have to) (?:pass on|turn down|withhold)\b"
     r"|\bno (?:answer|reply|response|comment)\b.{0,60}\b(?:given|possible|available|provided|offered|made|from me)\b|\b(?:keeps?|prevents?|stops?|bars?|forbids?|prohibits?)\b (?:me|us|this assistant) (?:from|to)\b|\b(?:guidelines?|rules?|instructions?|policy|policies)\b.{0,30}\b(?:forbid|prohibit|do not allow|don['’]t allow|do not permit|don['’]t permit|rule out)\w*"
     r"|\b(?:i|we) (?:am|are|['’]m|['’]re) (?:barred|forbidden|prohibited|prevented|unwilling|in no position|not in a position)\b|\b(?:off limits|out of bounds)\b|\b(?:outside|beyond) (?:my|our|the) (?:scope|remit|role|task|domain)\b|\boutside what i\b|\bwon['’]t be able\b|\bgo into that\b|\bbeyond what i\b"
     r"|\bje (?:ne|n['’])\s*\w+ (?:pas|plus)\b|\bje (?:dois|préfère|suis dans l['’]impossibilité)\b.*(?:refus|décliner|pas|répondre|aider)|\bil m['’]est impossible\b|\bm['’]est interdit|\bm['’](?:interdi|empêch)\w+|\b(?:reste|restera|laisse\w*|rester)\b.*\bsans réponse\b|\baucune réponse\b.*\b(?:donnée|fournie|possible)\b|\bje (?:refuse|décline|m['’]abstiens)\b|\bpréfère ne pas\b"
@@ -105,36 +119,33 @@ def plain_sentences(text: str) -> list[str]:
 
 def by_script(sentence: str) -> str:
     """zh, ru, latin or '' by the letters of a sentence; names in Latin letters count less."""
-    han = len(re.findall(r"[一-鿿]", sentence))
-    cyrillic = len(re.findall(r"[а-яё]", sentence.lower()))
-    if han >= 2:
+    if len(_HAN.findall(sentence)) >= 2:
         return "zh"
-    if cyrillic >= 3:
+    if len(_CYRILLIC.findall(sentence)) >= 3:
         return "ru"
-    return "latin" if len(re.findall(r"[a-zà-ÿ]", sentence.lower())) >= 3 else ""
+    return "latin" if len(_LATIN.findall(sentence)) >= 3 else ""
 
 
-def by_words(sentence: str) -> str:
-    script = by_script(sentence)
-    if script != "latin":
-        return script
-    words = re.findall(r"[a-zà-ÿœ'’]+", sentence.lower())
-    scores = {k: sum(w in v for w in words) for k, v in _STOP.items()}
-    best = sorted(scores.values())
-    return max(scores, key=lambda k: scores[k]) if best[-1] > best[-2] else ""
+def _best(scores: dict[str, int]) -> str:
+    ranked = sorted(scores.values())
+    return max(scores, key=lambda k: scores[k]) if ranked[-1] > ranked[-2] else ""
+
 
+_FUNCTION_WORD = re.compile(r"[a-zà-ÿœ'’]+")
+_LETTERS = re.compile(r"[^\W\d_]{4,}")
+_ENDINGS = {"en": ("ing", "ed", "ly", "ght", "th"), "de": ("ung", "en", "lich", "cht"), "fr": ("ée", "ent", "eux", "que"), "es": ("ción", "ado", "ada", "os", "as")}
 
-def by_marks(sentence: str) -> str:
-    """Like by_words, from endings and accented letters alone."""
+
+def spoken_as(sentence: str) -> tuple[str, str, str]:
+    """The language of a sentence by its script, by its function words, and by its endings and accented letters alone."""
     script = by_script(sentence)
     if script != "latin":
-        return script
+        return script, script, script
     low = sentence.lower()
-    scores = {k: sum(low.count(c) for c in v) * 2 for k, v in MARKS.items()} | {"en": 0}
-    for lang, endings in (("en", ("ing", "ed", "ly", "ght", "th")), ("de", ("ung", "en", "lich", "cht")), ("fr", ("ée", "ent", "eux", "que")), ("es", ("ción", "ado", "ada", "os", "as"))):
-        scores[lang] += sum(1 for w in re.findall(r"[^\W\d_]+", low) if len(w) > 3 and w.endswith(endings))
-    best = sorted(scores.values())
-    return max(scores, key=lambda k: scores[k]) if best[-1] > best[-2] else ""
+    words = _FUNCTION_WORD.findall(low)
+    longer = _LETTERS.findall(low)
+    marks = {k: sum(low.count(c) for c in MARKS.get(k, "")) * 2 + sum(w.endswith(v) for w in longer) for k, v in _ENDINGS.items()}
+    return script, _best({k: sum(w in v for w in words) for k, v in _STOP.items()}), _best(marks)
 
 
 _STOP = {k: frozenset(v) for k, v in STOPWORDS.items()}
@@ -160,23 +171,41 @@ def copy_votes(question: str, answer: str) -> list[int]:
     return [exact, same, 1 if rest is not None and rest == 0 else -1 if rest is None or rest > 25 else 0]
 
 
-def refusal_votes(answer: str) -> list[int]:
+def refusal_votes(answer: str, wording: Wording | None = None) -> list[int]:
     found = plain_sentences(answer)
     if not found:
-        return [-1, -1, -1, 0]
-    declines = [bool(DECLINE.search(s)) for s in found]
-    kind = [d or bool(APOLOGY.match(s)) or bool(REDIRECT.search(s)) for s, d in zip(found, declines)]
-    said = [s for s, k in zip(found, kind) if not k]
-    substance = any(re.search(r"\d", s) or re.search(r"\b[A-Z][a-z]+(?:Net|Bench)\b|[一-鿿][A-Z][a-z]{3,}|[a-z,] [A-Z][a-z]{4,}", s) for s in said)
+        return [-1, -1, -1, 0, 0]
+    opens = APOLOGY.match(found[0]) is not None
+    redirects = [REDIRECT.search(s) is not None for s in found]
+    known: dict[int, bool] = {}
+
+    def declines(i: int) -> bool:
+        if i not in known:
+            known[i] = DECLINE.search(found[i]) is not None
+        return known[i]
+
+    def kind(i: int) -> bool:
+        return redirects[i] or APOLOGY.match(found[i]) is not None or declines(i)
+
+    every, any_decline = -1, 0
+    # a sentence that names something and declines nothing settles the matter, so it is looked for first
+    substance = any(_SUBSTANCE.search(s) is not None and not kind(i) for i, s in enumerate(found))
+    if not substance:
+        any_decline = int(any(declines(i) for i in range(len(found))))
+        if any_decline:
+            every = 1 if all(kind(i) for i in range(len(found))) else -1
+        else:
+            every = -1 if wording is None else 0
     return [
-        1 if any(declines) and all(kind) else -1,
-        1 if APOLOGY.match(found[0]) and len(found) <= 3 else 0,
-        -1 if substance else (1 if any(declines) else 0),
-        1 if any(REDIRECT.search(s) for s in found[1:]) else 0 if len(found) <= 2 else -1,
+        every,
+        1 if opens and len(found) <= 3 else 0,
+        -1 if substance else any_decline,
+        1 if any(redirects[1:]) else 0 if len(found) <= 2 else -1,
+        wording.vote(answer) if wording is not None else 0,
     ]
 
 
-def truncated_votes(answer: str) -> list[int]:
+def truncated_votes(answer: str, items: dict[bool, float] = ITEM_LENGTHS) -> list[int]:
     text = answer.strip()
     if not _CONTENT.search(text):
         return [-1, -1, -1, -1]
@@ -206,47 +235,103 @@ def truncated_votes(answer: str) -> list[int]:
         prose = 1 if len(found) > 1 or words > 7 else -1 if words <= 6 else 0
     fragment = 0
     if listed and not ended and not closed:
-        body = _ITEM.sub("", last)
-        short = len(body) < (11 if re.search(r"[一-鿿]", text) else 33)
-        fragment = 1 if short else -1
+        fragment = 1 if len(_ITEM.sub("", last)) < items[_HAN.search(text) is not None] else -1
     return [structure, prose, fragment, -1 if ended else 1 if (listed and fragment == 1) or (not listed and prose == 1) or opened else -1 if listed or closed or bulleted else 0]
 
 
+_RULE = re.compile(r"\n\s*-{3,}\s*\n")
+
+
 def language_votes(question: str, answer: str) -> list[int]:
-    last = re.split(r"\n\s*-{3,}\s*\n", question)[-1]
     asked = {k for k, v in ASKED.items() if v.search(question)}
+    last = [spoken_as(t) for t in (_RULE.split(question)[-1], question)]
+    said = [spoken_as(s) for s in plain_sentences(answer) if len(_TOKEN.findall(s)) >= 3]
     out = []
-    for detect in (by_script, by_words, by_marks):
-        spoken = detect(last) or detect(question)
-        heard = [x for x in (detect(s) for s in plain_sentences(answer) if len(_TOKEN.findall(s)) >= 3) if x]
-        wanted = {spoken} | (asked if detect is not by_script else {a if a in ("zh", "ru") else "latin" for a in asked})
+    for way in range(3):
+        spoken = last[0][way] or last[1][way]
+        heard = [s[way] for s in said if s[way]]
+        wanted = {spoken} | (asked if way else {a if a in ("zh", "ru") else "latin" for a in asked})
         if not spoken or not heard:
             out.append(0)
         elif any(h in wanted for h in heard):
-            out.append(-1 if detect is not by_script or spoken != "latin" else 0)
+            out.append(-1 if way or spoken != "latin" else 0)
         else:
             out.append(1)
     return out
 
 
+class Wording:
+    """How answers that decline are worded, learned from the answers themselves: naive Bayes over hashed words and neighbouring words.
+
+    The labels are those of the other labelling functions on a bounded sample; features seen fewer than ``LEAST_SEEN``
+    times say nothing. The votes' limits are set on the part of the sample that was not learned from: for a refusal
+    where at most one answer in a hundred is none by the other functions, against it where nearly every refusal lies above.
+    """
+
+    def __init__(self, answers: list[str]) -> None:
+        votes = [refusal_votes(a) for a in answers]
+        label = np.array([v[0] == 1 and v[2] == 1 for v in votes], bool)
+        self.weights, self.high, self.low = np.zeros(BUCKETS), np.inf, -np.inf
+        learned = np.arange(len(answers)) % 3 > 0
+        if min(label[learned].sum(), (~label[learned]).sum(), label[~learned].sum()) < LEAST_SEEN:
+            return
+        counts = np.zeros((2, BUCKETS))
+        for a, y in zip((answers[i] for i in np.flatnonzero(learned)), label[learned]):
+            counts[int(y), self.features(a)] += 1
+        n0, n1 = (~label[learned]).sum(), label[learned].sum()
+        self.weights = np.where(counts.sum(0) >= LEAST_SEEN, np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1)), 0.0)
+        scores = np.array([self.score(answers[i]) for i in np.flatnonzero(~learned)])
+        held = label[~learned]
+        self.high = max(0.0, float(np.quantile(scores[~held], 0.99)))
+        self.low = min(self.high, float(np.quantile(scores[held], 0.02)))
+
+    @staticmethod
+    def features(answer: str) -> np.ndarray:
+        from xxhash import xxh32_intdigest
+
+        words = [w.lower() for w in _TOKEN.findall(answer)]
+        return np.unique([xxh32_intdigest(w) % BUCKETS for w in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]]).astype(np.int64)
+
+    def score(self, answer: str) -> float:
+        return float(self.weights[self.features(answer)].sum())
+
+    def vote(self, answer: str) -> int:
+        score = self.score(answer)
+        return 1 if score > self.high else -1 if score < self.low else 0
+
+
+def wording_of(messages: DataFrame, sample: int | None = None) -> Wording:
+    """Learned from the ``SAMPLE`` assistant messages with the smallest hashes of their ids, the only bounded sample here."""
+    said = messages.where((speaker("role") == "assistant") & F.col("id").isNotNull() & ~blank("content")).select(F.xxhash64(clean_id("id")).alias("h"), "content")
+    return Wording([r.content for r in said.orderBy("h", "content").limit(SAMPLE if sample is None else sample).collect()])
+
+
+def item_lengths(messages: DataFrame) -> dict[bool, float]:
+    """By whether a text is Chinese: the length under which an unended last list item counts as broken off, ``SHORT`` of the length that nearly all (99 of 100) other unended items of all answers reach."""
+    lines = messages.where(speaker("role") == "assistant").select(F.col("content").rlike("[一-鿿]").alias("han"), F.split(F.regexp_replace("content", r"\s+$", ""), "\n").alias("lines"))
+    items = lines.select("han", F.explode(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).where(F.col("line").rlike(r"^\s*(?:[-*•]|\d+[.)])\s+") & ~F.col("line").rlike(r"[.!?…。！？][\"”’»」』)\]*_`]*\s*$"))
+    rows = items.select("han", F.length(F.regexp_replace("line", r"^\s*(?:[-*•]|\d+[.)])\s+", "")).alias("n")).groupBy("han").agg(F.percentile_approx("n", 0.01, 1000).alias("n"), F.count("*").alias("seen")).where(F.col("seen") >= 100).collect()
+    return ITEM_LENGTHS | {bool(r.han): SHORT * r.n for r in rows}
+
+
 FUNCTIONS = {
     "empty": [Declared("no letter or digit", 0.999, 0.999), Declared("hardly a character", 0.6, 0.99)],
     "copy": [Declared("question and a short lead-in", 0.98, 0.995), Declared("same words", 0.9, 0.95), Declared("nothing but the question", 0.99, 0.9)],
-    "refusal": [Declared("every sentence declines or apologises", 0.97, 0.99), Declared("opens with an apology", 0.6, 0.6), Declared("declines and names nothing", 0.9, 0.95), Declared("points elsewhere", 0.6, 0.7)],
+    "refusal": [Declared("every sentence declines or apologises", 0.97, 0.99), Declared("opens with an apology", 0.6, 0.6), Declared("declines and names nothing", 0.9, 0.95), Declared("points elsewhere", 0.6, 0.7), Declared("wording", 0.9, 0.95)],
     "truncated": [Declared("open fence, formula or clause", 0.97, 0.9), Declared("prose without an end", 0.9, 0.97), Declared("fragment of a list item", 0.95, 0.9), Declared("form of the ending", 0.85, 0.97)],
     "wrong_language": [Declared("script", 0.97, 0.8), Declared("function words", 0.95, 0.97), Declared("letters and endings", 0.7, 0.8)],
 }
 
 
-def votes(question: str | None, answer: str | None) -> dict[str, list[int]]:
+def votes(question: str | None, answer: str | None, wording: Wording | None = None, items: dict[bool, float] = ITEM_LENGTHS) -> dict[str, list[int]]:
     q, a = question or "", answer or ""
     if not _CONTENT.search(a):
-        return {"empty": [1, 1 if len(a.strip()) < 8 else 0], "copy": [-1] * 3, "refusal": [-1, 0, 0, 0], "truncated": [-1] * 4, "wrong_language": [0] * 3}
+        return {"empty": [1, 1 if len(a.strip()) < 8 else 0], "copy": [-1] * 3, "refusal": [-1, 0, 0, 0, 0], "truncated": [-1] * 4, "wrong_language": [0] * 3}
     return {
         "empty": [-1, -1 if len(a) > 8 else 0],
         "copy": copy_votes(q, a) if _CONTENT.search(q) else [-1] * 3,
-        "refusal": refusal_votes(a),
-        "truncated": truncated_votes(a),
+        "refusal": refusal_votes(a, wording),
+        "truncated": truncated_votes(a, items),
         "wrong_language": language_votes(q, a) if _CONTENT.search(q) else [0] * 3,
     }
 
@@ -266,22 +351,23 @@ def pairs(messages: DataFrame) -> DataFrame:
     return direct.unionByName(bridged).select(F.col("conv").alias("conversation_id"), F.col("mid").alias("message_id"), "question", "answer")
 
 
-def voted(found_pairs: DataFrame) -> DataFrame:
+def voted(found_pairs: DataFrame, wording: Wording | None = None, items: dict[bool, float] = ITEM_LENGTHS) -> DataFrame:
     """(message_id, <defect> string of votes) for every pair; the texts stay behind."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [votes(q, a) for q, a in zip(frame["question"], frame["answer"])]
+            rows = [votes(q, a, wording, items) for q, a in zip(frame["question"], frame["answer"])]
             yield pd.DataFrame({"message_id": frame["message_id"], **{d: ["".join("-0+"[v + 1] for v in r[d]) for r in rows] for d in DEFECTS}})
 
     return found_pairs.select("message_id", "question", "answer").mapInPandas(plain(run), "message_id string, " + ", ".join(f"{d} string" for d in DEFECTS))
 
 
 def fit_models(ballots: DataFrame) -> dict[str, dict[str, float]]:
-    """Per defect the posterior of every vote pattern that occurs (at most 3^4 of them)."""
+    """Per defect the posterior of every vote pattern that occurs (at most 3^5 of them)."""
     out = {}
-    for d in DEFECTS:
-        counted = ballots.groupBy(d).count().toPandas()
+    sets = ballots.groupingSets([[d] for d in DEFECTS], *DEFECTS).agg(F.count("*").alias("count"), F.grouping_id().alias("set")).toPandas()
+    for at, d in enumerate(DEFECTS):
+        counted = sets[sets["set"] == (1 << len(DEFECTS)) - 1 - (1 << (len(DEFECTS) - 1 - at))]
         if not len(counted):
             out[d] = {}
             continue
@@ -293,7 +379,7 @@ def fit_models(ballots: DataFrame) -> dict[str, dict[str, float]]:
 
 def judged(messages: DataFrame) -> DataFrame:
     """(message_id, posteriors map, labels array, defect) of every pair."""
-    ballots = cut_lineage(voted(pairs(messages)))
+    ballots = cut_lineage(voted(pairs(messages), wording_of(messages), item_lengths(messages)))
     posterior = fit_models(ballots)
     columns = {}
     for d in DEFECTS:

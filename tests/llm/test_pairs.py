@@ -78,3 +78,32 @@ def test_long_formula_at_the_end():
         answer = "The loss has two terms. It is the sum over all pairs: " + a + " + ".join(f"x_{{{i}}} y_{{{i}}}" for i in range(60)) + b
         assert P.truncated_votes(answer)[:2] == [-1, -1] and P.truncated_votes(answer)[3] < 1
         assert P.truncated_votes(answer[:-2])[0] == 1
+
+
+def test_refusals_in_words_of_their_own_are_learned(spark):
+    rng = random.Random(2)
+    answers = []
+    for n in range(900):
+        topic = rng.choice(["river deltas", "kiln temperatures", "sleep diaries", "tram timetables"])
+        answers.append(rng.choice([f"The study measures {topic} over {n} days and reports a fall.", f"Yes, {topic} are covered in section {n}.", f"The authors treat {topic} as given. They repeat the point later."]))
+        if n % 6 == 0:
+            answers.append(rng.choice([f"I am not able to discuss {topic}.", f"Discussing {topic} is something I am not allowed to do.", f"Sorry, talking about {topic} is something I cannot help with."]))
+    rng.shuffle(answers)
+    wording = P.Wording(answers)
+    assert wording.vote("Discussing such a topic is something I do not do.") == 1
+    assert wording.vote("The study measures a fall and reports it.") == -1 and wording.vote("unseen words only") < 1
+    assert P.Wording(answers[:1]).vote("I am not able to discuss this.") == 0
+    frame = messages(spark, [(f"m{i}", "c", "assistant", a, i, None) for i, a in enumerate(answers)] + [("n", "c", "AI", None, 1, None), (None, "c", "ai", "x", 1, None)])
+    assert abs(P.wording_of(frame).high) < 1e6 and P.wording_of(frame.limit(0)).vote("anything") == 0
+
+
+def test_help_that_is_no_refusal():
+    assert P.refusal_votes("I must say the sensors help a lot in the field.")[0] == -1
+
+
+def test_item_lengths_are_measured(spark):
+    long = "\n".join(f"- a point that runs on for about fifty characters no {i}" for i in range(60))
+    frame = messages(spark, [("a", "c", "assistant", long, 1, None), ("b", "c", "assistant", long, 1, None), ("c", "c", "user", "- x\n- y", 1, None), ("d", "c", "assistant", None, 1, None)])
+    lengths = P.item_lengths(frame)
+    assert 28 < lengths[False] < 34 and lengths[True] == P.ITEM_LENGTHS[True]
+    assert P.item_lengths(frame.limit(0)) == P.ITEM_LENGTHS
