@@ -15,6 +15,7 @@ from .registry import Registry
 REGISTRY = Registry()
 query = REGISTRY.add
 
+# The five heading forms of functions.text in the SQL of DuckDB.
 HEADING = " OR ".join(
     f"regexp_matches(text, '{p}')"
     for p in (

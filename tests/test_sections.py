@@ -73,22 +73,22 @@ def test_index_with_canned_replies(spark):
         path.add(1)
         if prompt.startswith("Describe") and "lonely" in prompt:
             raise RuntimeError("busy")
-        return '```json\n{"title":"Test","summary":"A test paper"}\n```'
+        return '```json\n{"title":"Kiln survey","summary":"What the kilns were fed"}\n```'
 
     roots, found = S.build_index(df, model)
     got = {(r.paper_id, r.leaf_no): (r.title, r.summary) for r in found.collect()}
-    assert got == {("p", 0): ("Test", "A test paper"), ("p", 1): ("Test", "A test paper"), ("q", 0): ("Pages 1–1", "")}
+    assert got == {("p", 0): ("Kiln survey", "What the kilns were fed"), ("p", 1): ("Kiln survey", "What the kilns were fed"), ("q", 0): ("Pages 1–1", "")}
     root = {r.paper_id: (r.title, r.start_page, r.end_page, r.n_leaves) for r in roots.collect()}
-    assert root == {"p": ("Test", 0, 4, 2), "q": ("Pages 1–1", 0, 0, 1)}
+    assert root == {"p": ("Kiln survey", 0, 4, 2), "q": ("Pages 1–1", 0, 0, 1)}
     assert path.value == 4 and not calls  # three leaves, one root of two leaves
 
 
-TREE = [("Introduction", 0, 1), ("Methods", 2, 3), ("Results", 4, 5)]
+TREE = [("Soil", 0, 1), ("Glaze", 2, 3), ("Firing", 4, 5)]
 
 
 def select(spark, reply, tree=TREE):
     known = spark.createDataFrame([("p", i, t, "", a, b) for i, (t, a, b) in enumerate(tree)], TABLES["section_leaves"])
-    texts = pages(spark, {"p": [f"p{i} text" for i in range(6)]})
+    texts = pages(spark, {"p": [f"sheet {i}" for i in range(6)]})
     scores = R.score_rows(spark.createDataFrame([("p", reply)], "paper_id string, reply string"), ["paper_id"])
     chosen = R.selected_leaves(scores, known, ["paper_id"])
     context = R.paper_contexts(chosen, texts).collect()
@@ -96,19 +96,19 @@ def select(spark, reply, tree=TREE):
 
 
 def test_selection(spark):
-    assert select(spark, '[{"id":1,"score":9},{"id":0,"score":2},{"id":2,"score":1}]')[1:] == (["Pages 3–4: Methods"], "p2 text\n\np3 text")
+    assert select(spark, '[{"id":1,"score":9},{"id":0,"score":2},{"id":2,"score":1}]')[1:] == (["Pages 3–4: Glaze"], "sheet 2\n\nsheet 3")
     both = select(spark, '[{"id":2,"score":8},{"id":1,"score":5},{"id":0,"score":1}]')
-    assert both[1] == ["Pages 3–4: Methods", "Pages 5–6: Results"] and "\n\n---\n\n" in both[2]
-    assert select(spark, '[{"id":0,"score":7},{"id":1,"score":3}]')[1] == ["Pages 1–2: Introduction"]
-    assert select(spark, '[{"id":0,"score":7},{"id":1,"score":4}]')[1] == ["Pages 1–2: Introduction", "Pages 3–4: Methods"]
-    assert select(spark, '[{"id":1,"score":5},{"id":2,"score":5},{"id":0,"score":5}]')[1] == ["Pages 3–4: Methods", "Pages 5–6: Results"]
-    assert select(spark, '```json\n[{"id":2,"score":0}]\n```')[1] == ["Pages 5–6: Results"]
-    assert select(spark, '[{"id":2,"score":"9"},{"id":1,"score":"10"}]')[1][0] == "Pages 3–4: Methods"
+    assert both[1] == ["Pages 3–4: Glaze", "Pages 5–6: Firing"] and "\n\n---\n\n" in both[2]
+    assert select(spark, '[{"id":0,"score":7},{"id":1,"score":3}]')[1] == ["Pages 1–2: Soil"]
+    assert select(spark, '[{"id":0,"score":7},{"id":1,"score":4}]')[1] == ["Pages 1–2: Soil", "Pages 3–4: Glaze"]
+    assert select(spark, '[{"id":1,"score":5},{"id":2,"score":5},{"id":0,"score":5}]')[1] == ["Pages 3–4: Glaze", "Pages 5–6: Firing"]
+    assert select(spark, '```json\n[{"id":2,"score":0}]\n```')[1] == ["Pages 5–6: Firing"]
+    assert select(spark, '[{"id":2,"score":"9"},{"id":1,"score":"10"}]')[1][0] == "Pages 3–4: Glaze"
     for reply in ("nothing", "[]", '{"id":1,"score":9}', None, "", "null"):
         status, sources, _ = select(spark, reply)
-        assert status == ["fallback"] and sources == ["Pages 1–2: Introduction"]
+        assert status == ["fallback"] and sources == ["Pages 1–2: Soil"]
     assert select(spark, '[{"id":99,"score":9}]')[0] == ["invalid_id"]
-    assert select(spark, "nothing", [("All", 0, 2)]) == (["single"], ["Pages 1–3: All"], "p0 text\n\np1 text\n\np2 text")
+    assert select(spark, "nothing", [("All", 0, 2)]) == (["single"], ["Pages 1–3: All"], "sheet 0\n\nsheet 1\n\nsheet 2")
 
 
 def test_answer_pipeline(spark):
@@ -121,15 +121,15 @@ def test_answer_pipeline(spark):
         asked.add(1)
         return '[{"id":1,"score":9}]' if prompt.startswith("Rate") else "  " if prompt.startswith("Rewrite") else "the answer"
 
-    out = R.answer(convs, messages, known, pages(spark, {"p": [f"p{i} text" for i in range(6)]}), model=model).collect()
-    assert [(r.conversation_id, r.question, r.query, r.sources, r.reply) for r in out] == [("c1", "and then?", "and then?", "Pages 3–4: Methods", "the answer")]
+    out = R.answer(convs, messages, known, pages(spark, {"p": [f"sheet {i}" for i in range(6)]}), model=model).collect()
+    assert [(r.conversation_id, r.question, r.query, r.sources, r.reply) for r in out] == [("c1", "and then?", "and then?", "Pages 3–4: Glaze", "the answer")]
     assert asked.value == 3  # rewriting, rating, answer
 
 
 def test_every_question_is_answered(spark, tmp_path):
     convs = [("c1", "t", ["p", "gone"], 1), ("c2", "t", ["gone"], 1), ("c3", "t", None, 1), ("c4", "t", ["q", "p"], 1), ("c5", "t", ["p"], 1), ("c6", "t", [], 1)]
     messages = [(f"{c}-{k}", c, role, f"{c} {k}?", [], k) for c in ("c1", "c2", "c3", "c4", "c6", "unknown") for k, role in enumerate(["user", "assistant", "user"])]
-    texts = {"p": [f"p{i} text" for i in range(6)], "q": ["lonely"], "r": ["not asked for"]}
+    texts = {"p": [f"sheet {i}" for i in range(6)], "q": ["lonely"], "r": ["not asked for"]}
     known = spark.createDataFrame([("p", i, t, "", a, b) for i, (t, a, b) in enumerate(TREE)], TABLES["section_leaves"])
     tables = {"conversations": spark.createDataFrame(convs, TABLES["conversations"]), "messages": spark.createDataFrame(messages, TABLES["messages"]), "section_leaves": known, "paper_pages": pages(spark, texts)}
     for name, df in tables.items():
