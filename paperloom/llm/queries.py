@@ -22,6 +22,12 @@ facts AS (SELECT c, bool_or(NOT blank) AS spoken, bool_or(speaker = 'none' OR (s
 known AS (SELECT DISTINCT lower(trim(id)) AS k FROM conversations)
 SELECT * FROM (SELECT coalesce(c, k) AS conversation_id, CASE WHEN NOT coalesce(spoken, false) THEN 'empty' WHEN k IS NULL OR broken THEN 'broken' WHEN missing THEN 'missing_reply' END AS reason FROM facts FULL JOIN known ON c = k) WHERE reason IS NOT NULL"""
 
+P3_TURNS_SQL = rf"""WITH dropped AS ({P3_SQL}),
+rows AS (SELECT lower(trim(conversation_id)) AS c, lower(trim(id)) AS id, CASE WHEN timestamp >= 100000000000 THEN timestamp // 1000 ELSE timestamp END AS second, CASE WHEN r IN ('user', 'human') THEN 'user' ELSE 'assistant' END AS speaker,
+  regexp_replace(content, '^[\s\x{{A0}}\x{{3000}}\x{{FEFF}}]+|[\s\x{{A0}}\x{{3000}}\x{{FEFF}}]+$', '', 'g') AS content FROM (SELECT *, lower(trim(coalesce(role, ''))) AS r FROM messages) WHERE r <> 'system' AND trim(coalesce(conversation_id, '')) <> ''),
+once AS (SELECT c, id, min(second) AS second, min(speaker) AS speaker, max(content) AS content FROM rows GROUP BY c, id)
+SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY second, CASE WHEN speaker = 'user' THEN 0 ELSE 1 END, id) - 1 AS position, speaker, content FROM once WHERE c NOT IN (SELECT conversation_id FROM dropped)"""
+
 P4_SQL = r"""WITH rows AS (SELECT lower(trim(id)) AS id, concat_ws(' ', coalesce(title, ''), coalesce(abstract, ''), coalesce(file_name, '')) AS text FROM papers WHERE regexp_matches(coalesce(abstract, ''), '[\p{L}\p{N}]')),
 once AS (SELECT id, max_by(text, length(text)) AS text FROM rows GROUP BY id),
 words AS (SELECT id, regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM once),
@@ -104,7 +110,7 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return conversations.found(*_tables(spark, directory, "conversations", "messages"))
 
 
-@REGISTRY.add("p3_turns")
+@REGISTRY.add("p3_turns", P3_TURNS_SQL)
 def p3_turns(spark: SparkSession, directory: str) -> DataFrame:
     return conversations.turns(*_tables(spark, directory, "conversations", "messages"))
 
