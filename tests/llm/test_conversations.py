@@ -107,3 +107,53 @@ def test_without_assembly_long_conversations_are_broken(spark, monkeypatch):
     data = rows(*[("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(1000)])
     monkeypatch.setattr(C, "assemble", lambda parts: parts.selectExpr("conv", "fragment", "fragment as root", "0L as start"))
     assert [r.reason for r in C.found(heads(spark, U + "1"), frame(spark, data)).collect()] == ["broken"]
+
+
+def exported(spark, *parts):
+    """Rows in one partition, export after export: places of messages of a conversation."""
+    turn = lambda i: (f"m{i:04d}", U + "1", "user" if i % 2 == 0 else "assistant", f"t{i}", 1_700_000_000 + 10 * i)
+    return frame(spark, [turn(i) for part in parts for i in part]).coalesce(1)
+
+
+def test_exports_are_found_in_the_order_of_arrival(spark):
+    messages = exported(spark, range(4), range(2, 8), [5, 6, 7], [7, 8, 9])
+    got = sorted((r.export, [t.mid for t in r.turns]) for r in C.exports(messages).collect())
+    assert [[int(m[1:]) for m in mids] for _, mids in got] == [[0, 1, 2, 3], [2, 3, 4, 5, 6, 7], [5, 6, 7], [7, 8, 9]]
+    out = C.turns(heads(spark, U + "1"), messages).orderBy("position").collect()
+    assert [(r.position, r.content) for r in out] == [(i, f"t{i}") for i in range(10)]
+
+
+def test_the_path_of_the_exports_decides_the_order(spark, monkeypatch):
+    messages = exported(spark, range(4), range(2, 8))
+    assert {r.key for r in C.woven(C.exports(messages)).collect()} == set(range(8))
+    real = C.assemble
+
+    def turned(parts):
+        """The later export first."""
+        out = real(parts)
+        return out.withColumn("start", 2 - out["start"])
+
+    monkeypatch.setattr(C, "assemble", turned)
+    out = C.turns(heads(spark, U + "1"), messages).orderBy("position").collect()
+    assert [r.content for r in out] != [f"t{i}" for i in range(8)]
+
+
+def test_exports_without_an_overlap_are_woven_by_time(spark):
+    late = exported(spark, [0, 1, 2, 5, 6, 7], [3, 4], [1, 6, 7], [4, 5])
+    assert {r.key for r in C.woven(C.exports(late)).collect()} == {1_700_000_000 + 10 * i for i in range(8)}
+    convs = heads(spark, U + "1")
+    assert C.found(convs, late).count() == 0
+    assert [r.content for r in C.turns(convs, late).orderBy("position").collect()] == [f"t{i}" for i in range(8)]
+
+
+def test_exports_of_a_long_conversation_are_put_together(spark):
+    n = 2 * C.FRAGMENT + 300
+    messages = exported(spark, range(C.FRAGMENT + 50), range(C.FRAGMENT - 20, n), range(n - 10, n + 100), [7])
+    arrived = C.exports(messages)
+    assert max(len(r.turns) for r in arrived.collect()) <= C.FRAGMENT + 1
+    keys = {r.key for r in C.woven(arrived).collect()}
+    assert keys == set(range(n + 100))
+    convs = heads(spark, U + "1")
+    assert C.found(convs, messages).count() == 0
+    assert [r.content for r in C.turns(convs, messages).orderBy("position").collect()] == [f"t{i}" for i in range(n + 100)]
+    assert C.assemble(arrived.selectExpr("conv", "export as fragment", "transform(turns, t -> t.hash) as hashes")).select("root").distinct().count() == 1
